@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialmill.llm import bpe, langid, mixing, sharding, topk, warc
+from dialmill.llm import bpe, langid, mixing, neardup, sharding, topk, warc
 from dialmill.runtime import shared_dir, table
 
 
@@ -62,6 +62,10 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -90,7 +94,7 @@ def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_top_k, op3_mix_sources, op6_warc_archive, op7_bpe_codec, op8_reshard)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_top_k, op3_mix_sources, op5_near_duplicates, op6_warc_archive, op7_bpe_codec, op8_reshard)}
 
 
 def oracle_sql() -> dict[str, str]:
