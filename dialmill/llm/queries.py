@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialmill.llm import bpe, langid, mixing, neardup, sharding, topk, warc
+from dialmill.llm import bpe, langid, mixing, neardup, quality, sharding, topk, urlrules, warc
 from dialmill.runtime import shared_dir, table
 
 
@@ -62,6 +62,12 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    index = urlrules.mine(pages, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+    return urlrules.judge(pages, index).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -93,8 +99,14 @@ def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_top_k, op3_mix_sources, op5_near_duplicates, op6_warc_archive, op7_bpe_codec, op8_reshard)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_top_k, op3_mix_sources, op4_url_filters, op5_near_duplicates, op6_warc_archive, op7_bpe_codec, op8_reshard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
