@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialmill.llm import bpe, langid, mixing, neardup, quality, sharding, topk, urlrules, warc
+from dialmill.llm import bpe, langid, mixing, neardup, pii, quality, sharding, topk, urlrules, warc
 from dialmill.runtime import shared_dir, table
 
 
@@ -99,6 +99,12 @@ def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.detect(docs, pii.default_model(), keep=["doc_id"])
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
@@ -106,7 +112,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_top_k, op3_mix_sources, op4_url_filters, op5_near_duplicates, op6_warc_archive, op7_bpe_codec, op8_reshard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_top_k, op3_mix_sources, op4_url_filters, op5_near_duplicates, op6_warc_archive, op7_bpe_codec, op8_reshard, op9_personal_data, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
