@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialmill.runtime import stash
+
 LEAST, DATE = 1000, "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -51,12 +53,20 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, id_col: str =
     kept = kept.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("holder")))
     head = header_text(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("sha1"), F.col("n_bytes"), F.col("refers_to"))
     kept.select("page_id", "digest", "record_type", "refers_to", head.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # A holder's page may be repeated or have other payloads under the same id: the digest is taken again after the join.
-    one = keyed.groupBy("digest").agg(F.max("page_id").alias("h")).select("digest", F.coalesce(F.col("h").cast("string"), F.lit("null")).alias("__h"))
+    # A holder's page may have other payloads under the same id, so the digest is taken again after the join; a holder
+    # row that is repeated (m > 1) is told apart first, for only those payloads need a second shuffle.
+    met = keyed.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("m")).groupBy("digest").agg(F.max(F.struct("page_id", "m")).alias("h"))
+    one = stash(met.select("digest", F.coalesce(F.col("h.page_id").cast("string"), F.lit("null")).alias("__h"), F.col("h.m").alias("m")), "warc-holders")
     by_id = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__h"), body.alias("payload"))
-    full = by_id.join(one.hint("shuffle_hash"), "__h").filter(F.concat_ws("-", F.sha2("payload", 256), F.octet_length("payload").cast("string")) == F.col("digest"))
-    full = full.dropDuplicates(["__h", "digest"])  # a repeated holder row; lies in the partition of the join
-    full.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+
+    def held(side: DataFrame) -> DataFrame:
+        full = by_id.join(side.select("digest", "__h").hint("shuffle_hash"), "__h")
+        return full.filter(F.concat_ws("-", F.sha2("payload", 256), F.octet_length("payload").cast("string")) == F.col("digest")).select("digest", "payload")
+
+    out = held(one.filter("m = 1"))
+    if one.filter("m > 1").limit(1).count():
+        out = out.unionByName(held(one.filter("m > 1")).dropDuplicates(["digest"]))
+    out.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
