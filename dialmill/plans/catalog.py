@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from dialmill.plans import queries_data, queries_pairs, queries_score
+
+
+def queries() -> dict[str, Callable]:
+    return {n: q for m in (queries_score, queries_data, queries_pairs) for n, (q, _) in m.CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: s for m in (queries_score, queries_data, queries_pairs) for n, (_, s) in m.CATALOG.items() if s}
