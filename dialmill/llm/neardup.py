@@ -3,13 +3,15 @@
 Words are maximal runs without ASCII white space; a text's set holds its five-word shingles (a text of one to four words
 has one shingle, all its words). Two texts are linked when the Jaccard similarity of their sets is 0.8 or more.
 
-1. One pass over the texts gives each its set's digest, size, MinHash signature prefixes and an 8-bit sketch. Texts of
+1. One pass over the texts gives each its set's digest, size, MinHash signature prefixes and a sketch of bits. Texts of
    equal sets become one class of copies; later steps see one representative of each, so copies make no pairs.
 2. The forest: TREES sorted prefix tries over signatures. A match starts at depth DEEP and is shortened level by level
    until 1 - (1 - s ** depth) ** trees reaches RECALL at s = 0.8; nodes of that depth hold all candidates.
-3. Matches at full depth join texts to clusters (minimum label, two rounds). Pairs inside a cluster never become rows:
+3. Matches at full depth join texts to clusters (minimum label, two rounds), and texts that meet a larger
+   cluster higher up and resemble a member by sketch are taken in. Pairs inside a cluster never become rows:
    the cluster is cut into cells of bounded size, and a task counts the links of a cell by exact set intersections.
-4. Candidate pairs across clusters, which are few, are rows: filtered by set sizes and sketches, then verified exactly.
+4. Candidate pairs across clusters, which are few, are rows: filtered by set sizes and sketches
+   in the join itself, then verified exactly.
 5. Connected components of the verified links are found by minimum labels with pointer jumping.
 
 Shingles are 64-bit hashes. Missed pairs: at most (1 - RECALL) of those at 0.8 exactly, fewer above.
@@ -27,13 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialmill.runtime import fits_broadcast, stash
+from dialmill.runtime import bound_batches, fits_broadcast, stash
 
-WORDS, TREES, DEEP_TREES, DEEP, RECALL, SKETCH_LEAST = 5, 28, 8, 10, 0.9995, 0.6
-CELL_ROWS, CELL_SHINGLES, CHUNK = 1024, 2_000_000, 1 << 20
+WORDS, TREES, DEEP_TREES, DEEP, RECALL = 5, 28, 8, 10, 0.9995
+#: One bit of each of SKETCH_BITS MinHash values; two sets of similarity s agree in (1 + s) / 2 of them.
+SKETCH_BITS, SKETCH_DIFFER = 256, 51
+CELL_ROWS, CELL_SHINGLES, CHUNK = 512, 2_000_000, 1 << 20
 M64 = (1 << 64) - 1
 
 
@@ -47,7 +51,7 @@ def forest_depth(trees: int = TREES, deepest: int = DEEP, recall: float = RECALL
 
 DEPTH = forest_depth()
 _rng = np.random.default_rng(20240607)
-A, B = (_rng.integers(0, 1 << 32, TREES * DEPTH + DEEP_TREES * (DEEP - DEPTH), dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
+A, B = (_rng.integers(0, 1 << 32, max(SKETCH_BITS, TREES * DEPTH + DEEP_TREES * (DEEP - DEPTH)), dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
 BASE = 0x9E3779B97F4A7C15
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -124,12 +128,17 @@ def prefixes(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for level in range(DEPTH):
         node = mixed(node * np.uint64(BASE) + heads[:, level])
     deep = node[:DEEP_TREES] ^ np.uint64(0x5DEECE66D)
-    tails = sig[TREES * DEPTH :].reshape(DEEP_TREES, DEEP - DEPTH).astype(np.uint64)
+    tails = sig[TREES * DEPTH :][: DEEP_TREES * (DEEP - DEPTH)].reshape(DEEP_TREES, DEEP - DEPTH).astype(np.uint64)
     for level in range(DEEP - DEPTH):
         deep = mixed(deep * np.uint64(BASE) + tails[:, level])
     return node.view(np.int64), deep.view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest bits of SKETCH_BITS values, as longs."""
+    return np.packbits((sig[:SKETCH_BITS] & 1).astype(np.uint8)).view(np.int64)
+
+
 def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -147,13 +156,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if len(s):
                         sig = signature(s)
                         nodes, deep = prefixes(sig)
-                        rows.append((i, digest(s), len(s), nodes, deep, sig[: TREES * DEPTH].astype(np.uint8).tobytes()))
+                        rows.append((i, digest(s), len(s), nodes, deep, sketch(sig)))
                 cols = list(zip(*rows, strict=True)) or [()] * 6
-                types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+                types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "digest", "size", "nodes", "deep", "sketch"])
 
     src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, digest binary, size int, nodes array<long>, deep array<long>, sketch binary")
+    return src.mapInArrow(run, "doc_id long, digest binary, size int, nodes array<long>, deep array<long>, sketch array<long>")
 
 
 def shared_nodes(reps: DataFrame, column: str) -> DataFrame:
@@ -254,36 +263,55 @@ def cells(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.groupBy("cluster", "i", "j").applyInPandas(count_cell, "rid long, links long, other long")
 
 
-def cross_pairs(reps: DataFrame, cluster: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different clusters that meet in a node of the forest and whose sizes allow a link.
+def differ(x: str, y: str) -> Column:
+    """Bits in which the sketches whose longs are w0.. with these endings differ."""
+    return sum((F.bit_count(F.col(f"w{i}{x}").bitwiseXOR(F.col(f"w{i}{y}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
-    In each node only the members outside its main cluster are joined with the node, so that a node full of one
-    cluster's texts costs as many rows as it has members.
-    """
-    met = shared_nodes(reps, "nodes").join(cluster, "rid", "left").join(reps.select("rid", "size"), "rid")
-    met = stash(met.select("node", "rid", "size", F.coalesce("cluster", "rid").alias("cluster")), "forest-nodes")
-    main = met.groupBy("node", "cluster").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "cluster")).alias("m"), F.count(F.lit(1)).alias("kinds"))
-    mixed_nodes = main.filter("kinds > 1").select("node", F.col("m.cluster").alias("main"))
-    here = met.join(mixed_nodes, "node")
-    minor = here.filter("cluster <> main").select("node", F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("cluster").alias("ca"))
-    other = here.select("node", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("cluster").alias("cb"), "main")
-    fits = (10 * F.least("sa", "sb") >= 8 * F.greatest("sa", "sb")) & (F.col("ca") != F.col("cb"))
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = minor.join(other, (minor["node"] == other["node"]) & fits & once)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def bits(end: str = "") -> list[Column]:
+    return [F.col("sketch")[i].alias(f"w{i}{end}") for i in range(SKETCH_BITS // 64)]
 
-def sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree in SKETCH_LEAST or more of their bytes: over six deviations below 0.8."""
-    side = lambda x: reps.select(F.col("rid").alias(x), F.col("sketch").alias(f"s{x}"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            ok = (x == y).mean(1) >= SKETCH_LEAST if batch.num_rows else np.zeros(0, bool)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+def mixed_members(nodes: DataFrame, cluster: DataFrame) -> DataFrame:
+    """(node, rid, cluster, main, head) for nodes with members of several clusters; main is the node's largest, head its first member there."""
+    met = nodes.join(cluster, "rid", "left").select("node", "rid", F.coalesce("cluster", "rid").alias("cluster"))
+    own = met.groupBy("node", "cluster").agg(F.count(F.lit(1)).alias("k"), F.min("rid").alias("head"))
+    main = own.groupBy("node").agg(F.max(F.struct("k", "cluster", "head")).alias("m"), F.count(F.lit(1)).alias("kinds"))
+    return met.join(main.filter("kinds > 1").select("node", F.col("m.cluster").alias("main"), F.col("m.head").alias("head")), "node")
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+def adopted(nodes: DataFrame, cluster: DataFrame, reps: DataFrame) -> DataFrame:
+    """cluster, with texts taken into a larger cluster that they meet in a node if their sketch is near its first member's there.
+
+    Clusters only say which pairs are counted in cells and which are rows, so this changes costs, not results.
+    """
+    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    met = mixed_members(nodes, cluster).filter("cluster <> main").select("rid", "cluster", "main", "head").distinct()
+    near = met.join(reps.select(F.col("rid").alias("head"), *bits("_m")), "head").join(reps.select("rid", *bits()), "rid").filter(differ("", "_m") <= SKETCH_DIFFER)
+    near = near.select("rid", "cluster", "main").distinct().join(sizes.toDF("main", "to_size"), "main", "left").join(sizes.toDF("cluster", "from_size"), "cluster", "left")
+    place = lambda n, c: F.struct(F.coalesce(F.col(n), F.lit(1)), -F.col(c))
+    near = near.filter(place("to_size", "main") > place("from_size", "cluster"))
+    new = near.groupBy("rid").agg(F.max(F.struct(F.coalesce("to_size", F.lit(1)), -F.col("main"), F.col("main").alias("main")))["main"].alias("into"))
+    out = cluster.join(new, "rid", "full").select("rid", F.coalesce("into", "cluster").alias("cluster"))
+    heads = out.select(F.col("cluster").alias("rid")).distinct().join(out.select("rid"), "rid", "left_anti")
+    return stash(out.unionByName(heads.withColumn("cluster", F.col("rid"))), "forest-adopted")
+
+
+def cross_pairs(nodes: DataFrame, cluster: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of different clusters that meet in a node of the forest.
+
+    In each node only the members outside its main cluster are joined with the node, so that a node full of one
+    cluster's texts costs as many rows as it has members. The join's condition drops pairs whose sizes rule a link out,
+    or whose sketches differ in more than SKETCH_DIFFER bits: over five deviations from what a similarity of 0.8 gives,
+    and where texts that share a passage, but no more, come out.
+    """
+    here = stash(mixed_members(nodes, cluster).join(reps.select("rid", "size", *bits()), "rid"), "forest-mixed")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rid", "size", "cluster", *(f"w{i}" for i in range(SKETCH_BITS // 64)))]
+    minor, other = here.filter("cluster <> main").select("node", *side("a")), here.select("node", "main", *side("b"))
+    fits = (F.col("cluster_a") != F.col("cluster_b")) & (10 * F.least("size_a", "size_b") >= 8 * F.greatest("size_a", "size_b")) & (differ("_a", "_b") <= SKETCH_DIFFER)
+    once = (F.col("cluster_b") == F.col("main")) | (F.col("rid_a") < F.col("rid_b"))
+    pairs = minor.join(other, (minor["node"] == other["node"]) & fits & once)
+    return pairs.select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,18 +345,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, class_id (the least id of its component), copy_id (the least id with an equal set), n_links."""
+    bound_batches(docs.sparkSession)
     prints = stash(fingerprints(docs, id_col, text_col), "forest-prints")
     firsts = [F.first(c).alias(c) for c in ("size", "nodes", "deep", "sketch")]  # equal for equal digests
     reps = prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), *firsts)
     reps = stash(reps.withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
+    nodes = stash(shared_nodes(reps, "nodes"), "forest-nodes")
     cluster = clusters(reps)
+    for _ in range(2):
+        cluster = adopted(nodes, cluster, reps)
     info = reps.select("rid", "doc_id", "digest", "n", "size")
     members = cluster.join(info, "rid")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s")).filter("k > 1")
     sizes = stash(sizes.select("cluster", F.greatest(F.ceil(F.col("k") / CELL_ROWS), F.ceil(F.col("s") / CELL_SHINGLES)).alias("blocks")), "forest-cells")
     inside = with_sets(docs, members.join(sizes.select("cluster"), "cluster").select("doc_id", "digest", "rid", "n", "cluster"), id_col, text_col)
     counted = stash(cells(inside, sizes), "forest-counted")
-    pairs = stash(sketched(cross_pairs(reps, cluster), reps), "forest-pairs")
+    pairs = stash(cross_pairs(nodes, cluster, reps), "forest-pairs")
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
     across = stash(verified(pairs, with_sets(docs, ends.join(info, "rid").select("doc_id", "digest", "rid", "n"), id_col, text_col)).distinct(), "forest-across")
     links = counted.select("rid", "links").union(across.select("a", "nb")).union(across.select("b", "na")).groupBy("rid").agg(F.sum("links").alias("links"))
