@@ -6,14 +6,15 @@ that table. Decoding joins ids with the id-to-piece table. The tables stay with
 corpus would have to send every occurrence of every word through a shuffle (see README), while no text moves here.
 
 Defined cases: null text is an empty text, with no tokens; texts are encoded whole, whatever their length; a table of
-words is emptied when it exceeds TABLE_WORDS (it is refilled, results don't change); columns that clash with the
+words is emptied when it would exceed TABLE_WORDS (it is refilled, results don't change); columns that clash with the
 output names are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialmill.llm.text import SPACE
-from dialmill.runtime import without
+from dialmill.runtime import bound_batches, without
 
-TABLE_WORDS, SLICE_CHARS = 400_000, 8_000_000
+TABLE_WORDS, SLICE_CHARS = 100_000, 2_000_000
+
+
+#: A word that ends in marks after a Latin letter or digit is coded as its core and the marks: no token spans both. (U+0130
+#: is left out, for its lower case ends in a combining mark.)
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F"
+SPLIT = f"(?s)^(?P<core>.*[0-9{LETTERS}])(?P<tail>[.,!?;:]+)$"
+PLAIN = f"^[{LETTERS}]+$"
 
 
 class WordTable:
-    """Distinct words met so far; for each, its ids and their text form."""
+    """Distinct words; for each, the number of its ids, their decimal text, and its decoded text.
+
+    Words that occur twice or more among the texts coded together stay in the table for the texts that follow.
+    """
 
     def __init__(self, file: str, most: int = TABLE_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -38,75 +49,125 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
-        self.clear()
         self.pieces = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-
-    def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.said: list[str] = []  # decimal ids joined by a space
-        self.text: list[str] = []  # decoded
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """The table row of each word; words that are new are encoded together."""
-        if len(self.row) > self.most:
-            self.clear()
-        new = [w for w in words if w not in self.row]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.row[w] = len(self.ids)
-            self.ids.append(e.ids)
-            self.said.append(" ".join(map(str, e.ids)))
-            self.text.append(self.decode(e.ids))
-        return np.fromiter((self.row[w] for w in words), np.int64, len(words))
-
-    def decode(self, ids: list[int]) -> str:
+        n = max(self.pieces) + 1
+        self.piece = [self.pieces.get(i, "") for i in range(n)]
+        self.piece_size = np.array([len(p) + 1 for p in self.piece], np.int64)
+        self.decimal = [str(i) for i in range(n)]
+        self.decimal_size = np.array([len(d) + 1 for d in self.decimal], np.int64)
+        self.last = np.array([p.endswith("</w>") for p in self.piece])
+        self.known: dict[str, tuple[int, str, str]] = {}
+
+    def encode(self, words: list[str], plain: bool) -> Iterator[tuple[int, str, str]]:
+        """The rows of distinct words, in order; many words are encoded in one text.
+
+        A plain word, of letters only, ends where a token with the word-end mark does; elsewhere a token belongs to the
+        word in which it starts.
+        """
+        for k in range(0, len(words), 1000):
+            group = words[k : k + 1000]
+            e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            ids = np.array(e.ids, np.int64)
+            cut = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1]) if plain else None
+            if cut is None or len(cut) != len(group) + 1:
+                starts = np.cumsum([0, *(len(w) + 1 for w in group)])
+                owner = np.searchsorted(starts, [a for a, _ in e.offsets], "right") - 1
+                cut = np.searchsorted(owner, np.arange(len(group) + 1))
+            said, text = (" ".join(map(names.__getitem__, e.ids)) for names in (self.decimal, self.piece))
+            at, to = ((np.concatenate([[0], np.cumsum(size[ids])])[cut]).tolist() for size in (self.decimal_size, self.piece_size))
+            for n, a, b, c, d in zip(np.diff(cut).tolist(), at, at[1:], to, to[1:], strict=False):
+                yield n, said[a : b - 1] if n else "", text[c : d - 1] if n else ""
+
+    def rows(self, words: pa.StringArray, occurs: np.ndarray) -> list[tuple[int, str, str]]:
+        """The row of each distinct word; words that aren't known are encoded, each once."""
+        known, names = self.known, words.to_pylist()
+        out = [known.get(w) for w in names]
+        new = np.array([r is None for r in out], bool)
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        for kind in (True, False):
+            rows = np.flatnonzero(new & (plain == kind)).tolist()
+            for i, row in zip(rows, self.encode([names[i] for i in rows], kind), strict=True):
+                out[i] = row
+        keep = np.flatnonzero(new & (occurs > 1)).tolist()
+        if len(known) + len(keep) > self.most:
+            known.clear()
+        known.update((names[i], out[i]) for i in keep[: self.most])
+        return out
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The join of ids with pieces; this vocabulary has no decoder, so pieces are joined by a space."""
-        return " ".join(self.pieces[i] for i in ids)
+        return " ".join([self.pieces[i] for i in ids])
+
+
+def parted(words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+    """Core and tail of each word; the tail is null where the word isn't split. ASCII cores are lowered, as the vocabulary does."""
+    both = pc.extract_regex(words, SPLIT)
+    core = pc.coalesce(pc.struct_field(both, "core"), words)
+    low = pc.and_(pc.string_is_ascii(core), pc.invert(pc.match_substring(core, "<")))
+    return pc.if_else(low, pc.ascii_lower(core), core), pc.struct_field(both, "tail")
 
 
 def encoder(file: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(file)
-        for batch in batches:
-            at = 0
-            ends = batch.column("__words").offsets.to_numpy()
-            chars = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("__words")).to_numpy(zero_copy_only=False))]) * 6
-            assert len(ends) == batch.num_rows + 1
-            while at < batch.num_rows:  # bounded slices, one document at least
-                to = max(at + 1, int(np.searchsorted(chars, chars[at] + SLICE_CHARS, "right")) - 1)
-                yield coded(table, batch.slice(at, to - at), with_ids)
-                at = to
+        on = gc.isenabled()
+        gc.disable()  # millions of small tuples and no cycles: collection would cost more than the encoding
+        try:
+            for batch in batches:
+                at = 0
+                chars = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("__words")).to_numpy(zero_copy_only=False))]) * 6
+                while at < batch.num_rows:  # bounded slices, one document at least
+                    to = max(at + 1, int(np.searchsorted(chars, chars[at] + SLICE_CHARS, "right")) - 1)
+                    yield coded(table, batch.slice(at, to - at), with_ids)
+                    at = to
+        finally:
+            if on:
+                gc.enable()
 
     return run
 
 
 def coded(table: WordTable, batch: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
+    """The join of word positions with the table, document by document."""
     words = batch.column("__words")
     offsets = words.offsets.to_numpy()
-    coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    offsets = offsets - offsets[0]
-    distinct = table.rows(coded.dictionary.to_pylist())
-    at = distinct[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-    n, said, text, ids = [], [], [], []
-    lengths = np.array([len(x) for x in table.ids], np.int64)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        own = [i for i in at[a:b].tolist() if table.ids[i]]
-        n.append(int(lengths[own].sum()) if own else 0)
-        said.append(hashlib.sha256(" ".join([table.said[i] for i in own]).encode()).hexdigest())
-        text.append(hashlib.sha256(" ".join([table.text[i] for i in own]).encode()).hexdigest())
-        if with_ids:
-            ids.append(np.concatenate([table.ids[i] for i in own]).astype(np.int32) if own else np.zeros(0, np.int32))
+    flat = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    core, tail = parted(flat.dictionary)
+    halves = pa.concat_arrays([core, tail]).dictionary_encode()
+    n = len(core)
+    half = halves.indices.fill_null(-1).to_numpy().astype(np.int64)
+    word = flat.indices.to_numpy()
+    has_tail = (half[n:] >= 0)[word]
+    place = np.cumsum(has_tail) - has_tail + np.arange(len(word))  # of each word's core among cores and tails
+    at = np.empty(len(word) + int(has_tail.sum()), np.int64)
+    at[place] = half[word]
+    at[place[has_tail] + 1] = half[n:][word[has_tail]]
+    rows = table.rows(halves.dictionary, np.bincount(at, minlength=len(halves.dictionary)))
+    count = np.array([r[0] for r in rows], np.int64)
+    said, text = (np.array([r[k] for r in rows], object) for k in (1, 2))
+    offsets = np.append(place, len(at))[offsets - offsets[0]] + offsets[0]
+    keep_word = (count > 0)[at]
+    ends = np.concatenate([[0], np.cumsum(keep_word)])[offsets - offsets[0]]
+    at = at[keep_word]
+    total = np.concatenate([[0], np.cumsum(count[at])])[ends]
+    n = np.diff(total)
+    said_of, text_of = said[at].tolist(), text[at].tolist()
+    spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+    lines = [" ".join(said_of[a:b]) for a, b in spans]
+    said_sha = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
+    text_sha = [hashlib.sha256(" ".join(text_of[a:b]).encode()).hexdigest() for a, b in spans]
     keep = [i for i, name in enumerate(batch.schema.names) if name != "__words"]
-    arrays = [batch.column(i) for i in keep] + [pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(text, pa.string())]
+    arrays = [batch.column(i) for i in keep] + [pa.array(n, pa.int64()), pa.array(said_sha, pa.string()), pa.array(text_sha, pa.string())]
     names = [batch.schema.names[i] for i in keep] + ["n_tokens", "ids_sha256", "decoded_sha256"]
     if with_ids:
-        arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), np.concatenate([*ids, np.zeros(0, np.int32)])))
+        arrays.append(pa.ListArray.from_arrays(total.astype(np.int32), np.array(" ".join(x for x in lines if x).split(), np.int32)))
         names.append("ids")
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def encode(docs: DataFrame, file: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """docs' columns (or keep) with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
+    bound_batches(docs.sparkSession)
     docs = docs if keep is None else docs.select(*dict.fromkeys([*keep, text_col]))
     own = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "__words"]
     kept = [c for c in without(docs, own).columns if keep is None or c in keep]
