@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of Python operators hold 2,000 rows or 16 MB at most, unless the session has own values.
+
+    Workers then need the same memory whatever the lengths of texts; the settings don't change results.
+    """
+    for key, default, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, own)
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
