@@ -116,7 +116,7 @@ def multi_turn(p: Phrases) -> Column:
     one = reply_to(first, p)
     turns = F.array(
         F.struct(message("assistant", F.concat(empathy(p), _pick(p.one_question, "q"), first, F.lit("。"))).alias("a"), message("user", one).alias("u")),
-        F.struct(message("assistant", F.concat(F.lit("Thank you. "), second, F.lit("。"))).alias("a"), message("user", reply_to(second, p, one)).alias("u")),
+        F.struct(message("assistant", F.concat(F.lit("Thank you. One more thing to confirm: "), second, F.lit("。"))).alias("a"), message("user", reply_to(second, p, one)).alias("u")),
     )
     middle = F.flatten(F.transform(F.slice(turns, F.lit(1), asked), lambda t: F.array(t["a"], t["u"])))
     rest = F.slice(q, asked + 1, F.greatest(F.size(q) - asked, F.lit(0)))
