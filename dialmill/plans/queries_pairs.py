@@ -8,6 +8,7 @@ from dialmill.functions import rules as R
 from dialmill.operators import metrics
 from dialmill.operators import pairs as P
 from dialmill.plans import derive as D
+from dialmill.runtime import table
 
 CATALOG: dict = {}
 
@@ -71,7 +72,7 @@ def pair_systematic_sample(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents ORDER BY md5('sample|' || doc_id), doc_id LIMIT 10")
 def review_sample(spark, sf_dir):
-    return P.sample(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id", 10)
+    return P.sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 10)
 
 
 _M = "score_chosen - score_rejected"
@@ -106,4 +107,4 @@ def trainer_projection(spark, sf_dir):
 @query(f"WITH {D.SCORED_SQL} SELECT doc_id, total FROM scored WHERE bad AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def real_pair_candidates(spark, sf_dir):
     bad = D.narrow(spark, sf_dir).filter("bad").select("doc_id", "total")
-    return P.collect_real(bad, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    return P.collect_real(bad, table(spark, sf_dir, "labels"), "doc_id")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and measured to stay within both bounds.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+#: Inputs below this many bytes may be dealt to all cores after the scan.
+SMALL_INPUT = 128 << 20
+_stashed: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +40,38 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, own)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives its memory back to the system when its task ends; workers are used again by later stages."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _stashed.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this driver so far; call it once results are written. Their number."""
+    n = 0
+    while _stashed:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stashed.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether a stashed table is within the broadcast bounds; counts rows and the characters of its string columns."""
     text = [c for c, t in df.dtypes if t in ("string", "binary")]
@@ -69,5 +100,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in gone])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is a small input of fewer files than cores, whose one row group a single task would read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_INPUT and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

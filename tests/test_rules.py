@@ -256,3 +256,27 @@ def test_metrics(spark):
         metrics.require(df, F.size("e") > 0, "too few").collect()
     shares = metrics.capped_shares(spark.range(10).select((F.col("id") < 8).cast("string").alias("c")), "c", 4)
     assert {r.c: round(r.share, 3) for r in shares.collect()} == {"true": 0.667, "false": 0.333}
+
+
+def test_stash_and_clean(spark):
+    from dialmill.runtime import clean, fits_broadcast, lookup_join, stash, without
+
+    clean(spark)
+    df = stash(spark.createDataFrame([("a", 1), (None, 2)], "k string, v int"))
+    assert df.count() == 2 and fits_broadcast(df)
+    left = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, i int")
+    assert sorted((r.i, r.v) for r in lookup_join(left, df, "k", F.col("i")).fillna(0).collect()) == [(1, 1), (2, 2), (3, 0)]
+    assert without(df.withColumn("Size", F.lit(1)), ["size"]).columns == ["k", "v"]
+    assert clean(spark) == 1 and clean(spark) == 0
+
+
+def test_spread_small_inputs(spark, tmp_path):
+    from dialmill.runtime import spread
+
+    path = str(tmp_path / "one")
+    spark.range(100).coalesce(1).write.parquet(path)
+    assert spread(spark.read.parquet(path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = str(tmp_path / "many")
+    spark.range(100).repartition(9).write.parquet(many)
+    plan = spread(spark.read.parquet(many))._jdf.queryExecution().toString()
+    assert "Repartition" not in plan
