@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from dialmill.runtime import stash
 
-MAX_BLOCKS = 131_072
+MAX_BLOCKS = 32_768
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
