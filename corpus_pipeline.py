@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dialmill.llm import bpe, langid, mixing, neardup, pii
 from dialmill.llm.queries import vocabulary
-from dialmill.runtime import stash
+from dialmill.runtime import stash, table
 
 #: A document whose language's probability is below this, or that has no letter, is rejected.
 LEAST_SCORE = 0.5
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each stage's result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

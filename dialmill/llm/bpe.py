@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialmill.llm.text import SPACE
-from dialmill.runtime import bound_batches, without
+from dialmill.runtime import bound_batches, tidy, without
 
-TABLE_WORDS, SLICE_CHARS = 100_000, 2_000_000
+TABLE_WORDS, SLICE_CHARS = 60_000, 1_200_000
 
 
 #: A word that ends in marks after a Latin letter or digit is coded as its core and the marks: no token spans both. (U+0130
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, file: str, text_col: str = "text", keep: list[str] |
     split = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), lambda w: w != "")
     src = docs.select(*kept, split.alias("__words"))
     schema = T.StructType([*src.select(*kept).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)])
-    return src.mapInArrow(encoder(file, with_ids), schema)
+    return src.mapInArrow(tidy(encoder(file, with_ids)), schema)
 
 
 def decode_ids(coded: DataFrame, file: str, id_col: str, ids_col: str = "ids") -> DataFrame:

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialmill.runtime import bound_batches, without
+from dialmill.runtime import bound_batches, tidy, without
 
-BITS, ORDERS, SAMPLE_PER_LANG, MAX_LANGS, WINDOW = 15, (1, 2, 3), 3000, 256, 1 << 19
+BITS, ORDERS, SAMPLE_PER_LANG, MAX_LANGS, WINDOW = 15, (1, 2, 3), 3000, 256, 1 << 18
 FIXED = 1 << 16
 _fold: np.ndarray | None = None
 
@@ -131,7 +131,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         i, b = np.nonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array([*i, *range(len(langs))], pa.int32()), pa.array([*b, *[-1] * len(langs)], pa.int32()), pa.array([*got[i, b], *n], pa.int64())], ["k", "b", "n"])
 
-    counts = sample.mapInArrow(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(count), "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most MAX_LANGS * (2 ** BITS + 1) rows
     k, b, n = (table.column(c).to_numpy() for c in ("k", "b", "n"))
     full, docs_of = np.zeros((1 << BITS, len(langs))), np.zeros(len(langs))
@@ -155,4 +155,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     bound_batches(docs.sparkSession)
     src = docs.select(*kept, F.col(text_col).alias("__t"))
     schema = T.StructType([*src.drop("__t").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialmill.runtime import bound_batches, fits_broadcast, stash
+from dialmill.runtime import bound_batches, fits_broadcast, stash, tidy
 
 WORDS, TREES, DEEP_TREES, DEEP, RECALL = 5, 28, 8, 10, 0.9995
 #: One bit of each of SKETCH_BITS MinHash values; two sets of similarity s agree in (1 + s) / 2 of them.
@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "digest", "size", "nodes", "deep", "sketch"])
 
     src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, digest binary, size int, nodes array<long>, deep array<long>, sketch array<long>")
+    return src.mapInArrow(tidy(run), "doc_id long, digest binary, size int, nodes array<long>, deep array<long>, sketch array<long>")
 
 
 def shared_nodes(reps: DataFrame, column: str) -> DataFrame:
@@ -199,7 +199,7 @@ def with_sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> D
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[1:], "shingles"]).filter(own)
 
     schema = ", ".join(f"{n} {t}" for n, t in need.dtypes) + ", shingles binary"
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -326,7 +326,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(bool(linked(np.intersect1d(x, y, True).size, len(x), len(y))))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long, na long, nb long")
 
 
 def components(edges: DataFrame) -> DataFrame:

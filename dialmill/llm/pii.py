@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialmill.runtime import bound_batches, without
+from dialmill.runtime import bound_batches, tidy, without
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -431,4 +431,4 @@ def detect(docs: DataFrame, model: Tagger, text_col: str = "text", keep: list[st
     src = docs.select(*kept, F.col(text_col).alias("__t"))
     fields = src.drop("__t").schema.fields
     schema = T.StructType([*fields, *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
