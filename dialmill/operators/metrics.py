@@ -87,3 +87,51 @@ def reasons(rows: DataFrame, column: str) -> DataFrame:
 def require(df: DataFrame, test: Column, message: str) -> DataFrame:
     """df, failing at run time with message where test isn't true."""
     return df.filter(F.when(F.coalesce(test, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def moves(both: DataFrame, step: int = 2) -> DataFrame:
+    """One row: items whose total rose or fell by step or more, and the rest (A25). Columns c_total, b_total."""
+    gap = F.col("c_total") - F.col("b_total")
+    return both.agg(F.count_if(gap >= step).alias("up"), F.count_if(gap <= -step).alias("down"), F.count_if(F.abs(gap) < step).alias("same"))
+
+
+def radar(scored: DataFrame, *by: str) -> DataFrame:
+    """Means of the dimensions on a scale of 0 to 1, as rows."""
+    one = scored.groupBy(*by).agg(*[(F.avg(d) / 2).alias(d) for d in DIMS])
+    return one.unpivot(list(by), list(DIMS), "dimension", "value")
+
+
+def judge_coverage(rows: DataFrame) -> DataFrame:
+    """Rows judged, taken from the cache, and scored by rules only (A23). Columns judged, cached."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("judged").alias("judged"), F.count_if("cached").alias("cached"), F.count_if(~F.col("judged")).alias("by_rules"))
+
+
+def quota_warnings(rows: DataFrame, by: str, need: dict[str, int]) -> DataFrame:
+    """Per required class the rows there are, the rows needed, and whether they are too few; classes without rows included."""
+    spark = rows.sparkSession
+    want = spark.createDataFrame(sorted(need.items()), f"{by} string, need int")
+    have = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return want.join(have, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"), "need", (F.coalesce("n", F.lit(0)) < F.col("need")).alias("short"))
+
+
+#: (name, test over the aggregates of ``suggestions``, advice), in order; the default comes when none fires.
+ADVICE = (
+    ("half_answer", "n_half > 0.05 * n", "add examples with complete steps"),
+    ("call_missing", "n_call_missing > 0", "add examples that start a query"),
+    ("bad_call", "n_bad_call > 0", "add examples that ask for missing arguments"),
+    ("safety", "n_safety > 0", "add safety phrases for fault scenarios"),
+    ("mean", "mean_total < 10", "raise coverage of facts and actions"),
+)
+
+
+def suggestions(scored: DataFrame) -> DataFrame:
+    """(rank, topic, advice): the rules that fire on the aggregates, in order, or one default row."""
+    one = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if("half_answer").alias("n_half"), F.count_if("call_missing").alias("n_call_missing"), F.count_if("bad_call").alias("n_bad_call"), F.count_if(F.coalesce("safety_missing", F.lit(False))).alias("n_safety"), F.avg("total").alias("mean_total"))
+    fired = F.array_compact(F.array(*[F.when(F.expr(test), F.struct(F.lit(topic).alias("topic"), F.lit(text).alias("advice"))) for topic, test, text in ADVICE]))
+    default = F.array(F.struct(F.lit("none").alias("topic"), F.lit("keep the current mix").alias("advice")))
+    return one.select(F.posexplode(F.when(F.size(fired) > 0, fired).otherwise(default)).alias("rank", "x")).select((F.col("rank") + 1).alias("rank"), "x.topic", "x.advice")
+
+
+def signed(c: Column, places: int = 2) -> Column:
+    """A number with its sign and fixed places."""
+    return F.format_string(f"%+.{places}f", c.cast("double"))

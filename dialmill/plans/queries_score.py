@@ -225,3 +225,25 @@ def dim_compare(spark, sf_dir):
 def final_verdict(spark, sf_dir):
     out = arena.final_verdict(both_models(spark, sf_dir))
     return out.withColumn("mean_candidate", F.round("mean_candidate", 6)).withColumn("mean_baseline", F.round("mean_baseline", 6))
+
+
+@query(f"WITH {_SIDES} SELECT count(*) FILTER (c_total - b_total >= 2) AS up, count(*) FILTER (c_total - b_total <= -2) AS down, count(*) FILTER (abs(c_total - b_total) < 2) AS same FROM both2")
+def score_moves(spark, sf_dir):
+    return metrics.moves(both_models(spark, sf_dir))
+
+
+@query(f"WITH {D.SCORED_SQL} SELECT lang, dimension, round(value, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT lang, '{d}' AS dimension, avg({d}) / 2 AS value FROM scored GROUP BY lang" for d in S.DIMS) + ")")
+def radar_means(spark, sf_dir):
+    return metrics.radar(D.narrow(spark, sf_dir), "lang").withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {D.SCORED_SQL}, agg AS (SELECT count(*) AS n, count(*) FILTER (half_answer) AS n_half, count(*) FILTER (call_missing) AS n_call_missing, count(*) FILTER (bad_call) AS n_bad_call, count(*) FILTER (safety_missing) AS n_safety, avg(total) AS mean_total FROM scored),
+fired AS ({' UNION ALL '.join(f"SELECT {i} AS k, '{t}' AS topic, '{a}' AS advice FROM agg WHERE {test}" for i, (t, test, a) in enumerate(metrics.ADVICE))})
+SELECT (row_number() OVER (ORDER BY k))::INT AS rank, topic, advice FROM fired UNION ALL SELECT 1, 'none', 'keep the current mix' WHERE NOT EXISTS (SELECT 1 FROM fired)""")
+def suggestion_rules(spark, sf_dir):
+    return metrics.suggestions(D.narrow(spark, sf_dir))
+
+
+@query(f"WITH {D.SCORED_SQL}, want(defect, need) AS (VALUES ('safety', 40), ('tool', 200), ('fabrication', 10), ('completeness', 5), ('other', 1)), have AS (SELECT defect, count(*) AS n FROM scored GROUP BY defect) SELECT defect, coalesce(n, 0) AS n, need, coalesce(n, 0) < need AS short FROM want LEFT JOIN have USING (defect)")
+def quota_warnings(spark, sf_dir):
+    return metrics.quota_warnings(D.narrow(spark, sf_dir), "defect", {"safety": 40, "tool": 200, "fabrication": 10, "completeness": 5, "other": 1})

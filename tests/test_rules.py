@@ -280,3 +280,14 @@ def test_spread_small_inputs(spark, tmp_path):
     spark.range(100).repartition(9).write.parquet(many)
     plan = spread(spark.read.parquet(many))._jdf.queryExecution().toString()
     assert "Repartition" not in plan
+
+
+def test_reports(spark, sf):
+    from dialmill.plans import derive, queries_score, reports
+
+    n = derive.narrow(spark, sf)
+    m = derive.matches(spark, sf)
+    assert "## Advice" in reports.score_report(n) and "## Verdict" in reports.final_report(queries_score.both_models(spark, sf), m)
+    assert "data-verdict" in reports.arena_page(m) and "## Shares" in reports.pair_report(derive.pairs(spark, sf))
+    cov = metrics.judge_coverage(spark.createDataFrame([(True, False), (False, False)], "judged boolean, cached boolean")).first()
+    assert (cov.n, cov.judged, cov.by_rules) == (2, 1, 1) and spark.range(1).select(metrics.signed(F.lit(1.5)).alias("s")).first().s == "+1.50"
