@@ -47,27 +47,31 @@ def retry_guide(found: Column, tool_name: Column) -> Column:
     return F.array_join(F.transform(found, line), "\n")
 
 
-def repair(answer: Column, tools: list[str] | None = None) -> Column:
-    """The answer with unknown calls replaced, a missing call added, needless calls dropped, safety and rescue phrases added.
+def repair(rows: DataFrame, column: str, tools: list[str] | None = None) -> DataFrame:
+    """rows with the answers in column repaired (C3): unknown calls replaced, a missing call added, needless calls dropped,
+    safety and rescue phrases added.
 
-    Text is cut around the calls and put together again, each call looked at by itself.
+    Text is cut around the calls and put together again, each call looked at by itself. The steps are columns of their
+    own, so that none is computed twice.
     """
-    a = X.text_or_empty(answer)
-    whole = F.regexp_extract_all(a, F.lit(R.TOOL_CALL), F.lit(0))
-    pieces = F.split(a, R.TOOL_CALL)
-
     def kept(block: Column) -> Column:
         c = X.parse_call(F.regexp_extract(block, R.TOOL_CALL, 1))
         return F.when(c["valid"] & (c["name"].isin(*tools) if tools else F.lit(True)), block).otherwise(R.CALL_BLANK)
 
-    checked = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size(whole), kept(F.get(whole, i))).otherwise(""))), "")
-    call = F.concat(F.lit('<tool_call>{"name": "'), F.col("tool_name"), F.lit('", "arguments": {}}</tool_call>'))
-    ask = F.when(X.contains_any(checked, R.ASKS_ALREADY), "").otherwise(R.CALL_ASK)
-    added = F.concat(F.regexp_replace(checked, "。+$", ""), F.lit(R.CALL_LEAD), call, ask, F.lit(R.CALL_TAIL))
     need = F.coalesce(F.col("tool_required"), F.lit(False))
-    out = F.when(~need, F.array_join(pieces, "")).when(F.col("tool_name").isNotNull() & ~checked.rlike(R.TOOL_CALL), added).otherwise(checked)
-    out = F.when((F.col("category_id") == 3) & ~X.contains_any(out, R.SAFETY_WORDS), F.concat(F.lit(R.STOP_REPAIR), out)).otherwise(out)
-    return F.when((F.col("category_id") == 6) & ~X.contains_any(out, R.RESCUE_WORDS), F.concat(out, F.lit(R.RESCUE_REPAIR))).otherwise(out)
+    out = rows.withColumn("__whole", F.regexp_extract_all(X.text_or_empty(F.col(column)), F.lit(R.TOOL_CALL), F.lit(0))).withColumn("__pieces", F.split(X.text_or_empty(F.col(column)), R.TOOL_CALL))
+    checked = F.array_join(F.transform("__pieces", lambda p, i: F.concat(p, F.when(i < F.size("__whole"), kept(F.get(F.col("__whole"), i))).otherwise(""))), "")
+    out = out.withColumn("__a", F.when(need, checked).otherwise(F.array_join("__pieces", "")))
+    a = F.col("__a")
+    call = F.concat(F.lit('<tool_call>{"name": "'), F.col("tool_name"), F.lit('", "arguments": {}}</tool_call>'))
+    ask = F.when(X.contains_any(a, R.ASKS_ALREADY), "").otherwise(R.CALL_ASK)
+    added = F.concat(F.regexp_replace(a, "。+$", ""), F.lit(R.CALL_LEAD), call, ask, F.lit(R.CALL_TAIL))
+    out = out.withColumn("__b", F.when(need & F.col("tool_name").isNotNull() & ~a.rlike(R.TOOL_CALL), added).otherwise(a))
+    b = F.col("__b")
+    out = out.withColumn("__c", F.when((F.col("category_id") == 3) & ~X.contains_any(b, R.SAFETY_WORDS), F.concat(F.lit(R.STOP_REPAIR), b)).otherwise(b))
+    c = F.col("__c")
+    done = F.when((F.col("category_id") == 6) & ~X.contains_any(c, R.RESCUE_WORDS), F.concat(c, F.lit(R.RESCUE_REPAIR))).otherwise(c)
+    return out.withColumn(column, done).drop("__whole", "__pieces", "__a", "__b", "__c")
 
 
 def first_passing(attempts: DataFrame, tools: list[str] | None = None, key: str = "seed_id") -> DataFrame:
@@ -80,7 +84,8 @@ def first_passing(attempts: DataFrame, tools: list[str] | None = None, key: str
     best = found.groupBy(key).agg(F.coalesce(F.min_by("attempt", F.when(ok, F.col("attempt"))), F.max("attempt")).alias("__n"))
     out = found.join(best.withColumnRenamed(key, "__k"), (F.col(key) == F.col("__k")) & (F.col("attempt") == F.col("__n"))).drop("__k", "__n")
     status = F.when(~ok, "fallback").when(F.col("attempt") == 0, "pass").otherwise(F.concat(F.lit("retry"), F.col("attempt").cast("string")))
-    return out.withColumn("status", status).withColumn("answer", F.when(ok, F.col("answer")).otherwise(repair(F.col("answer"), tools)))
+    out = repair(out.withColumn("__ok", ok).withColumn("status", status).withColumn("__fixed", F.col("answer")), "__fixed", tools)
+    return out.withColumn("answer", F.when(F.col("__ok"), F.col("answer")).otherwise(F.col("__fixed"))).drop("__ok", "__fixed")
 
 
 def generate(inputs: DataFrame, model: Callable[[pd.DataFrame], pd.Series], name: str = "answer") -> DataFrame:

@@ -9,6 +9,7 @@ from dialmill.functions import rules as R
 from dialmill.functions import text as X
 
 DIMS = ["understanding", "facts", "questions", "actions", "prohibited", "completeness", "fabrication"]
+FLAGS = ["half_answer", "safety_missing", "rescue_missing", "call_missing", "bad_call", "needless_call"]
 LISTS = ("required_facts", "required_questions", "required_actions", "prohibited_actions")
 
 
@@ -70,7 +71,10 @@ def score(rows: DataFrame, tools: list[str] | None = None, rules: R.Rules = R.DE
         F.when(F.col("violated") != "", F.concat("violated", F.lit(" (prohibited)"))),
     ))
     own = ["__a", "__calls", "__topic", "__broken", "__claims", "__call", "scenario_p", "source_text", *(f"{n}_p" for n in LISTS)]
-    return out.withColumn("reasons", reasons).drop(*own)
+    out = out.withColumn("reasons", reasons).drop(*own)
+    # The results pass through a generator, so that a later filter on them isn't pushed into, and doesn't repeat, the scoring.
+    new = [c for c in out.columns if c in {*DIMS, "total", "topic", "violated", "reasons", *FLAGS, *(f"ok_{n}" for n in ("facts", "questions", "actions"))}]
+    return out.select(*[c for c in out.columns if c not in new], F.inline(F.array(F.struct(*new))))
 
 
 def with_judge(scored: DataFrame, judged: DataFrame, key: str = "seed_id") -> DataFrame:

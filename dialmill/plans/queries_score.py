@@ -159,7 +159,7 @@ r3 AS (SELECT *, CASE WHEN category_id = 3 AND NOT {any_sql('a2', R.SAFETY_WORDS
 
 @query(f"WITH {REPAIR_SQL} SELECT doc_id, CASE WHEN category_id = 6 AND NOT {any_sql('a3', R.RESCUE_WORDS)} THEN a3 || chr(10) || '{R.RESCUE_REPAIR.strip()}' ELSE a3 END AS repaired FROM r3")
 def constraint_repair(spark, sf_dir):
-    return D.answers(spark, sf_dir, prepared=False).select("doc_id", constrain.repair(F.col("answer"), D.TOOLS).alias("repaired"))
+    return constrain.repair(D.answers(spark, sf_dir, prepared=False), "answer", D.TOOLS).select("doc_id", F.col("answer").alias("repaired"))
 
 
 @query(f"""WITH {GATE_SQL}, k AS (SELECT doc_id // 3 AS batch, doc_id % 3 AS attempt, len(found) = 0 AS ok FROM g),

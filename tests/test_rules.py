@@ -133,12 +133,13 @@ def test_repair(spark):
     tools = ["lookup"]
     rows = seeds(spark, {"tool_required": True, "tool_name": "lookup"}, {"seed_id": "s2", "category_id": 3}, {"seed_id": "s3", "category_id": 6})
     bad = '一<tool_call>{"name": "nope"}</tool_call>二<tool_call>{"name": "lookup", "arguments": {}}</tool_call>三<tool_call>{oops}</tool_call>'
-    got = {r.seed_id: r.a for r in rows.select("seed_id", constrain.repair(F.lit(bad), tools).alias("a")).collect()}
+    got = {r.seed_id: r.a for r in constrain.repair(rows.withColumn("a", F.lit(bad)), "a", tools).collect()}
     assert got["s1"] == f'一{R.CALL_BLANK}二<tool_call>{{"name": "lookup", "arguments": {{}}}}</tool_call>三{R.CALL_BLANK}'
     assert got["s2"] == R.STOP_REPAIR + "一二三" and got["s3"] == "一二三" + R.RESCUE_REPAIR
-    again = rows.withColumn("a", constrain.repair(F.lit(bad), tools)).select("a", constrain.repair(F.col("a"), tools).alias("b"))
+    once = constrain.repair(rows.withColumn("a", F.lit(bad)), "a", tools)
+    again = constrain.repair(once.withColumn("b", F.col("a")), "b", tools)
     assert all(r.a == r.b for r in again.collect())
-    added = rows.filter("seed_id = 's1'").select(constrain.repair(F.lit("好的。。"), tools).alias("a")).first().a
+    added = constrain.repair(rows.filter("seed_id = 's1'").withColumn("a", F.lit("好的。。")), "a", tools).first().a
     assert added.startswith("好的" + R.CALL_LEAD) and R.CALL_ASK in added
 
 
