@@ -48,9 +48,13 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"|{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """Every document with size, source_size, target, rate, copies and taken (copies * size)."""
-    docs = without(docs, OWN).withColumn("size", word_count(F.col(text_col)))
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, sized: bool = False) -> DataFrame:
+    """Every document with size, source_size, target, rate, copies and taken (copies * size).
+
+    sized: docs hold their sizes in ``size`` already, and no text is read.
+    """
+    docs = without(docs, [c for c in OWN if not (sized and c == "size")])
+    docs = docs if sized else docs.withColumn("size", word_count(F.col(text_col)))
     totals = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     targets = stash(source_targets(totals, weights, ceiling), "mix-targets").withColumnRenamed("source", source_col)
     out = lookup_join(docs, targets, source_col, F.col(id_col))

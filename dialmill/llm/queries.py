@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialmill.llm import bpe, langid, mixing, neardup, pii, quality, sharding, topk, urlrules, warc
-from dialmill.runtime import shared_dir, table
+from dialmill.llm.text import word_count
+from dialmill.runtime import shared_dir, stash, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -43,8 +44,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = stash(docs, "mix-sizes")  # texts are read once; totals and plan work on their sizes
+    return mixing.plan_mix(sized, sized=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = r"""
