@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from dialmill.runtime import bound_batches, fits_broadcast, stash, tidy
 
 WORDS, TREES, DEEP_TREES, DEEP, RECALL = 5, 28, 8, 10, 0.9995
-#: One bit of each of SKETCH_BITS MinHash values; two sets of similarity s agree in (1 + s) / 2 of them.
+#: One mixed bit of each of SKETCH_BITS MinHash values; two sets of similarity s agree in (1 + s) / 2 of them.
 SKETCH_BITS, SKETCH_DIFFER = 256, 51
 CELL_ROWS, CELL_SHINGLES, CHUNK = 512, 2_000_000, 1 << 20
 M64 = (1 << 64) - 1
@@ -135,8 +135,12 @@ def prefixes(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """The lowest bits of SKETCH_BITS values, as longs."""
-    return np.packbits((sig[:SKETCH_BITS] & 1).astype(np.uint8)).view(np.int64)
+    """A bit of each of SKETCH_BITS values mixed with its place, as longs.
+
+    A and B are odd, so the lowest bits of the values themselves would be one bit of the shingle, the same in all places.
+    """
+    own = mixed(sig[:SKETCH_BITS].astype(np.uint64) + np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * np.uint64(BASE))
+    return np.packbits((own >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
 
 def digest(shingles: np.ndarray) -> bytes:

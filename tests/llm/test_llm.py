@@ -255,6 +255,21 @@ def test_near_duplicates_across_clusters(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_join(df).collect()) == want
 
 
+def test_near_duplicates_short_texts(spark, monkeypatch):
+    """8- against 9-word texts share 4 of 5 shingles: no pair that meets in the forest is lost to the sketch filter."""
+    r = random.Random(4)
+    rows = []
+    for i in range(0, 4000, 2):
+        w = [f"w{r.randrange(10**9)}" for _ in range(9)]
+        rows += [(i, " ".join(w[:8])), (i + 1, " ".join(w))]
+    monkeypatch.setattr(neardup, "clusters", lambda reps: reps.limit(0).select("rid", F.col("rid").alias("cluster")))
+    monkeypatch.setattr(neardup, "adopted", lambda nodes, cluster, reps: cluster)
+    nodes = [set(neardup.prefixes(neardup.signature(neardup.shingle_set(t)))[0].tolist()) for _, t in rows]
+    want = {i for i in range(0, 4000, 2) if nodes[i] & nodes[i + 1]}
+    got = neardup.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links = 1 AND doc_id % 2 = 0")
+    assert {r.doc_id for r in got.collect()} == want and len(want) >= 1995
+
+
 def test_shingles_of_long_words(monkeypatch):
     text = "aaa " + "b" * 500 + " c\x0bd " + "é" * 300 + " x"
     whole = neardup.word_hashes(text)
