@@ -147,26 +147,31 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that tell texts apart, none for a null text: with the id they name a row, as an id may repeat with other texts."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest, size, nodes, deep, sketch of every text that has a word; rows without an id are left out."""
+    """doc_id, key, digest, size, nodes, deep, sketch of every text that has a word; rows without an id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for i, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     s = shingle_set(text.as_py())
                     if len(s):
                         sig = signature(s)
                         nodes, deep = prefixes(sig)
-                        rows.append((i, digest(s), len(s), nodes, deep, sketch(sig)))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "digest", "size", "nodes", "deep", "sketch"])
+                        rows.append((i, key, digest(s), len(s), nodes, deep, sketch(sig)))
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "key", "digest", "size", "nodes", "deep", "sketch"])
 
-    src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(tidy(run), "doc_id long, digest binary, size int, nodes array<long>, deep array<long>, sketch array<long>")
+    src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return src.mapInArrow(tidy(run), "doc_id long, key binary, digest binary, size int, nodes array<long>, deep array<long>, sketch array<long>")
 
 
 def shared_nodes(reps: DataFrame, column: str) -> DataFrame:
@@ -188,10 +193,10 @@ def clusters(reps: DataFrame) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """need (doc_id, digest, and more) with ``shingles``, the bytes of the sorted hashes of that text."""
+    """need (doc_id, key, digest, and more) with ``shingles``, the bytes of the sorted hashes of that text."""
     need = stash(need, "forest-need")
     side = F.broadcast(need) if fits_broadcast(need) else need.hint("shuffle_hash")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text")).join(side, "doc_id").select("__text", *need.columns)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("__text")).join(side, ["doc_id", "key"]).select("__text", *need.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,43 +352,58 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, class_id (the least id of its component), copy_id (the least id with an equal set), n_links."""
+def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, class_id and class_key (the least id of the component, and its text's key), copy_id, n_links per row with an id and a word."""
     bound_batches(docs.sparkSession)
     prints = stash(fingerprints(docs, id_col, text_col), "forest-prints")
     firsts = [F.first(c).alias(c) for c in ("size", "nodes", "deep", "sketch")]  # equal for equal digests
-    reps = prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), *firsts)
-    reps = stash(reps.withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
+    reps = prints.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("n"), *firsts)
+    reps = stash(reps.select("digest", "least.doc_id", "least.key", "n", "size", "nodes", "deep", "sketch").withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
     nodes = stash(shared_nodes(reps, "nodes"), "forest-nodes")
     cluster = clusters(reps)
     for _ in range(2):
         cluster = adopted(nodes, cluster, reps)
-    info = reps.select("rid", "doc_id", "digest", "n", "size")
+    info = reps.select("rid", "doc_id", "key", "digest", "n", "size")
     members = cluster.join(info, "rid")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s")).filter("k > 1")
     sizes = stash(sizes.select("cluster", F.greatest(F.ceil(F.col("k") / CELL_ROWS), F.ceil(F.col("s") / CELL_SHINGLES)).alias("blocks")), "forest-cells")
-    inside = with_sets(docs, members.join(sizes.select("cluster"), "cluster").select("doc_id", "digest", "rid", "n", "cluster"), id_col, text_col)
+    inside = with_sets(docs, members.join(sizes.select("cluster"), "cluster").select("doc_id", "key", "digest", "rid", "n", "cluster"), id_col, text_col)
     counted = stash(cells(inside, sizes), "forest-counted")
     pairs = stash(cross_pairs(nodes, cluster, reps), "forest-pairs")
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-    across = stash(verified(pairs, with_sets(docs, ends.join(info, "rid").select("doc_id", "digest", "rid", "n"), id_col, text_col)).distinct(), "forest-across")
+    across = stash(verified(pairs, with_sets(docs, ends.join(info, "rid").select("doc_id", "key", "digest", "rid", "n"), id_col, text_col)).distinct(), "forest-across")
     links = counted.select("rid", "links").union(across.select("a", "nb")).union(across.select("b", "na")).groupBy("rid").agg(F.sum("links").alias("links"))
     comp = components(counted.filter("rid <> other").select(F.col("rid").alias("a"), F.col("other").alias("b")).union(across.select("a", "b")))
     named = info.join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    classes = stash(named.join(least, "comp").join(links, "rid", "left").select("digest", "class_id", F.col("doc_id").alias("copy_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "forest-classes")
-    own = prints.select("doc_id", "digest").join(classes, "digest").drop("digest")
+    least = named.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("comp", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("class_key"))
+    classes = stash(named.join(least, "comp").join(links, "rid", "left").select("digest", "class_id", "class_key", F.col("doc_id").alias("copy_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "forest-classes")
+    return prints.select("doc_id", "key", "digest").join(classes, "digest").drop("digest")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, class_id (the least id of its component), copy_id (the least id with an equal set), n_links."""
+    own = classified(docs, id_col, text_col).select("doc_id", "class_id", "copy_id", "n_links")
     rest = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter(F.col("doc_id").isNull() | F.col("t").isNull() | ~F.col("t").rlike(r"[^\x20\x09-\x0D]"))
     rest = rest.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return own.unionByName(rest).withColumnRenamed("doc_id", id_col)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one with the least id; rows without an id stay, of rows that repeat an id one stays."""
-    classes = stash(jaccard_join(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "class_id"), "forest-keep")
-    gone = stash(classes.filter("__id <> class_id").select("__id").distinct(), "forest-gone")
-    side = F.broadcast(gone) if fits_broadcast(gone) else gone
-    kept = docs.join(side, docs[id_col] == gone["__id"], "left_anti")
-    if classes.filter("__id IS NOT NULL").groupBy("__id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-    return kept
+    """One document of each class, the one with the least id and, for that id, the least key of its text.
+
+    Rows are told apart by id and text, so a repeated id loses only the texts that are near copies. Rows without an id
+    stay; of rows that repeat both id and text one stays, the least by its other columns.
+    """
+    rows = stash(classified(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "class_id", "class_key"), "forest-keep")
+    gone = stash(rows.filter("__id <> class_id OR __key <> class_key").select("__id", "__key").distinct(), "forest-gone")
+    marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": text_key(F.col(text_col))})
+    names = ["__id", "__key"]
+    kept = marked.join(F.broadcast(gone) if fits_broadcast(gone) else gone, names, "left_anti")
+    every = marked.filter("__id IS NOT NULL").groupBy(*names).count().filter("count > 1").select(*names)
+    twice = stash(every.join(gone, names, "left_anti"), "forest-twice")
+    if twice.limit(1).count():
+        side = F.broadcast(twice) if fits_broadcast(twice) else twice
+        row = F.struct(*docs.columns)
+        one = kept.join(side, names, "left_semi").groupBy(*names).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+        return kept.join(side, names, "left_anti").select(*docs.columns).unionByName(one)
+    return kept.select(*docs.columns)

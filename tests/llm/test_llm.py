@@ -255,6 +255,19 @@ def test_near_duplicates_across_clusters(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_join(df).collect()) == want
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """A repeated id with different texts loses only the rows that are near copies, whatever the order of rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " more"
+    rows = [(5, a, "x"), (5, b, "x"), (3, near, "x"), (7, c, "z"), (7, c, "y"), (7, b + " end", "x"), (8, None, "x"), (8, None, "x"), (8, " ", "x"), (None, a, "x"), (9, a, "x")]
+    rows += [(11, f"text {i} of one id that holds many rows {i * 7}", "x") for i in range(30)]
+    want = sorted([(5, b, "x"), (3, near, "x"), (7, c, "y"), (8, None, "x"), (8, " ", "x"), (None, a, "x"), *rows[11:]], key=str)
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        got = neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_near_duplicates_short_texts(spark, monkeypatch):
     """8- against 9-word texts share 4 of 5 shingles: no pair that meets in the forest is lost to the sketch filter."""
     r = random.Random(4)
