@@ -1,12 +1,12 @@
 """Minimum-cost-flow resharding.
 
-The corpus lies in old shards cut into blocks by a hash of the id. From old shard bytes and new capacities a minimum
+The corpus lies in old shards cut into blocks by a hash of id, text_crc32, size and the number among rows equal in these. From old shard bytes and new capacities a minimum
 cost flow (cost 1 a byte that leaves its shard, 0 a byte that stays) says how many bytes go where; the blocks of an old
 shard are then laid along its flows. Only the flow problem, whose size is shards times shards, is solved on the driver;
 documents meet the plan by a broadcast of the block table, which never exceeds MAX_BLOCKS rows.
 
-Defined cases: null text has size 1 and crc32 0; a null id belongs to block 0 of shard 0; repeated rows keep a slot
-each; an empty table gives an empty result; clashing column names are replaced.
+Defined cases: null text has size 1 and crc32 0; a null id belongs to old shard 0; repeated rows keep a slot each, and
+neither they nor rows without an id share a block for that; an empty table gives an empty result; clashing column names are replaced.
 """
 
 from __future__ import annotations
@@ -72,10 +72,12 @@ def reshard(docs: DataFrame, new_shards: int = 8, old_shards: int = 6, id_col: s
     """Per document: id, size, text_crc32, old_shard, block, shard and slot (gapless from 0 in each shard)."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").__add__(1).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"), F.when(F.col(id_col).isNull(), 0).otherwise(F.pmod(F.crc32(key.cast("binary")), F.lit(old_shards))).cast("int").alias("old_shard"), F.xxhash64(key).alias("__h"))
-    rows = stash(rows, "shard-rows")
+    rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").__add__(1).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"), F.when(F.col(id_col).isNull(), 0).otherwise(F.pmod(F.crc32(key.cast("binary")), F.lit(old_shards))).cast("int").alias("old_shard"))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))  # equal rows are numbered without sorting them
+    rows = rows.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
+    rows = stash(rows.withColumn("__h", F.xxhash64(key, "text_crc32", "size", "__c")).drop("__c"), "shard-rows")
     each = max(1, min(rows.count(), MAX_BLOCKS) // old_shards)
-    rows = rows.withColumn("block", F.when(F.col(id_col).isNull(), 0).otherwise(F.pmod("__h", F.lit(each))).cast("int")).drop("__h")
+    rows = rows.withColumn("block", F.pmod("__h", F.lit(each)).cast("int")).drop("__h")
     blocks = stash(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-blocks")
     supply = [0] * old_shards
     for r in blocks.groupBy("old_shard").agg(F.sum("bytes").alias("b")).collect():  # a row per old shard
@@ -102,11 +104,18 @@ def reshard(docs: DataFrame, new_shards: int = 8, old_shards: int = 6, id_col: s
     return out.select(id_col, "size", "text_crc32", "old_shard", "block", "shard", (F.col("first") + F.col("__rn") - 1).cast("long").alias("slot"))
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the documents whose shard changed, as files by new shard, and return the move list (old, new, documents, bytes).
 
     Documents that stay need no rewriting: their old files hold them, less the ids that the move list's files took over.
     """
-    moved = plan.filter("shard <> old_shard").select(F.col(id_col).alias("__id"), "shard").dropDuplicates(["__id"])
-    docs.join(moved, docs[id_col].eqNullSafe(moved["__id"])).drop("__id").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    # Rows equal in id, size and crc32 may go to different shards: both sides number them.
+    same = ["__id", "__size", "__crc"]
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
+    moved = plan.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "old_shard", "shard").withColumn("__c", number)
+    moved = moved.filter("shard <> old_shard").drop("old_shard").withColumnsRenamed({c: f"{c}_p" for c in (*same, "__c")})
+    text = F.col(text_col)
+    own = docs.withColumns({"__id": F.col(id_col), "__size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, "__crc": F.coalesce(F.crc32(text.cast("binary")), F.lit(0))}).withColumn("__c", number)
+    match = F.col("__id").eqNullSafe(F.col("__id_p")) & (F.col("__size") == F.col("__size_p")) & (F.col("__crc") == F.col("__crc_p")) & (F.col("__c") == F.col("__c_p"))
+    own.join(moved, match).select(*docs.columns, "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
     return plan.filter("shard <> old_shard").groupBy("old_shard", "shard").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("bytes"))

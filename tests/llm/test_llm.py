@@ -393,6 +393,24 @@ def test_reshard(spark, sf, tmp_path):
     assert moved.join(plan.select("doc_id", F.col("shard").alias("to")), "doc_id").filter("shard <> to").count() == 0
 
 
+def test_reshard_rows_without_distinct_ids(spark, tmp_path):
+    """Null ids, a repeated id and repeated rows spread over blocks and shards; moved rows keep their shard."""
+    rows = [(None, f"text {i}") for i in range(600)] + [(7, f"other {i}") for i in range(600)] + [(8, "same text")] * 600 + [(i, f"text {i}") for i in range(100, 1900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = sharding.reshard(docs).cache()
+    got = plan.collect()
+    bytes_by, slots = Counter(), defaultdict(list)
+    for r in got:
+        bytes_by[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(bytes_by.values()) - min(bytes_by.values()) < 0.05 * sum(bytes_by.values()) / 8
+    assert max(Counter((r.old_shard, r.block) for r in got).values()) < 20
+    sharding.rewrite_affected(docs, plan, str(tmp_path / "m"))
+    key = lambda r: (r.doc_id, len(r.text) + 1, zlib.crc32(r.text.encode()), r.shard)
+    assert Counter(map(key, spark.read.parquet(str(tmp_path / "m")).collect())) == Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in got if r.shard != r.old_shard)
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
