@@ -7,8 +7,8 @@ bound, the sum of the query's components times the values at the lists' fronts,
 every cell are ranked together afterwards, so the result is exact.
 
 Defined cases: vectors that are null, or hold null, NaN or infinity, take no part, nor do rows without an id; an empty
-vector counts as all zeros, and a shorter vector as padded with zeros; rows that repeat an id count once (the vector
-that sorts first); ties go to the smaller id; scores beyond the long range stop at its ends.
+vector counts as all zeros, and a shorter vector as padded with zeros; rows that repeat an id and a vector count once,
+those that repeat an id with other vectors each; ties go to the smaller id; scores beyond the long range stop at its ends.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def cell(k: int):
     def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(candidates) and len(queries):
-            once = lambda d: d.assign(__t=d["vec"].map(tuple)).sort_values(["id", "__t"], kind="stable").drop_duplicates("id")
+            once = lambda d: d.assign(__t=d["vec"].map(tuple)).sort_values(["id", "__t"], kind="stable").drop_duplicates(["id", "__t"])
             candidates, queries = once(candidates), once(queries)
             dim = max(1, int(candidates["vec"].map(len).max()), int(queries["vec"].map(len).max()))
             both = matrix(pd.concat([candidates["vec"], queries["vec"]]), dim)

@@ -106,6 +106,14 @@ def test_top_k_brute_force(spark):
     assert topk.top_k(huge, huge).first().score == (1 << 63) - 1
 
 
+def test_top_k_repeated_ids(spark):
+    """A repeated id with different vectors: every row is a candidate, and asks, as in OP2_SQL."""
+    rows = [(0, [1.0]), (1, [1.0]), (1, [3.0]), (1, [3.0]), (2, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, df.filter("vec_id = 0"), k=10)
+    assert [(r.vec_id, r.score >> 20) for r in got.orderBy("rank").collect()] == [(1, 3), (2, 2), (1, 1)]
+
+
 def test_top_k_stops_early():
     block = np.zeros((1000, 3))
     block[:, 0] = np.arange(1000)
