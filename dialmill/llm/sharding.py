@@ -107,7 +107,7 @@ def reshard(docs: DataFrame, new_shards: int = 8, old_shards: int = 6, id_col: s
 def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the documents whose shard changed, as files by new shard, and return the move list (old, new, documents, bytes).
 
-    Documents that stay need no rewriting: their old files hold them, less the ids that the move list's files took over.
+    Old files are not rewritten: they still hold the moved documents, and the move list has counts, not ids.
     """
     # Rows equal in id, size and crc32 may go to different shards: both sides number them.
     same = ["__id", "__size", "__crc"]
