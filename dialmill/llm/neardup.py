@@ -1,12 +1,13 @@
-"""N-gram Jaccard join through a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join through MinHash LSH at a fixed depth, with exact verification.
 
 Words are maximal runs without ASCII white space; a text's set holds its five-word shingles (a text of one to four words
 has one shingle, all its words). Two texts are linked when the Jaccard similarity of their sets is 0.8 or more.
 
 1. One pass over the texts gives each its set's digest, size, MinHash signature prefixes and a sketch of bits. Texts of
    equal sets become one class of copies; later steps see one representative of each, so copies make no pairs.
-2. The forest: TREES sorted prefix tries over signatures. A match starts at depth DEEP and is shortened level by level
-   until 1 - (1 - s ** depth) ** trees reaches RECALL at s = 0.8; nodes of that depth hold all candidates.
+2. A fixed depth stands for the forest: the deepest at which 1 - (1 - s ** depth) ** TREES reaches RECALL at s = 0.8 is
+   the same for every text, so prefixes of that depth are hashed and joined by equality, without tries and without
+   shortening matches per text. A second fixed level, DEEP_TREES trees of depth DEEP, finds clusters.
 3. Matches at full depth join texts to clusters (minimum label, two rounds), and texts that meet a larger
    cluster higher up and resemble a member by sketch are taken in. Pairs inside a cluster never become rows:
    the cluster is cut into cells of bounded size, and a task counts the links of a cell by exact set intersections.
