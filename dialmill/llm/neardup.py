@@ -1,18 +1,22 @@
-"""N-gram Jaccard join through MinHash LSH at a fixed depth, with exact verification.
+"""N-gram Jaccard join through a MinHash LSH forest, with exact verification.
 
 Words are maximal runs without ASCII white space; a text's set holds its five-word shingles (a text of one to four words
 has one shingle, all its words). Two texts are linked when the Jaccard similarity of their sets is 0.8 or more.
 
-1. One pass over the texts gives each its set's digest, size, MinHash signature prefixes and a sketch of bits. Texts of
-   equal sets become one class of copies; later steps see one representative of each, so copies make no pairs.
-2. A fixed depth stands for the forest: the deepest at which 1 - (1 - s ** depth) ** TREES reaches RECALL at s = 0.8 is
-   the same for every text, so prefixes of that depth are hashed and joined by equality, without tries and without
-   shortening matches per text. A second fixed level, DEEP_TREES trees of depth DEEP, finds clusters.
-3. Matches at full depth join texts to clusters (minimum label, two rounds), and texts that meet a larger
+1. One pass over the texts gives each its set's digest, size, the MinHash labels of TREES prefix tries and a sketch of
+   bits. Texts of equal sets become one class of copies; later steps see one representative of each, so copies make no pairs.
+2. Each trie is cut at its shallowest nodes of LEAF members or fewer, at depth DEPTH at the latest: a text's matched prefix
+   is shortened as far as its node stays that small, so seldom texts need short prefixes and crowded ones get long ones.
+   The tries are read in two lots. A text's recall is 1 - prod(1 - 0.8 ** depth) over the depths at which its prefixes
+   ended; a text that reaches RECALL in the first lot takes no part in the second, and with all TREES even a text whose
+   prefixes all end at DEPTH reaches it. Members of a leaf are paired. A text takes no part where no partner is possible:
+   sets of fewer than LEAST_SET shingles can't resemble another set to 0.8.
+3. Nodes of more than LEAF members at DEPTH hold clusters of near copies and texts with much in common. Their texts are
+   joined to clusters by deeper prefixes (DEEP values, minimum label, two rounds), and texts that meet a larger
    cluster higher up and resemble a member by sketch are taken in. Pairs inside a cluster never become rows:
    the cluster is cut into cells of bounded size, and a task counts the links of a cell by exact set intersections.
 4. Candidate pairs across clusters, which are few, are rows: filtered by set sizes and sketches
-   in the join itself, then verified exactly.
+   in the join itself (heavy nodes are cut into blocks), then verified exactly.
 5. Connected components of the verified links are found by minimum labels with pointer jumping.
 
 Shingles are 64-bit hashes. Missed pairs: at most (1 - RECALL) of those at 0.8 exactly, fewer above.
@@ -25,7 +29,9 @@ extra columns play no part.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,22 +41,23 @@ from pyspark.sql import functions as F
 
 from dialmill.runtime import bound_batches, fits_broadcast, stash, tidy
 
-WORDS, TREES, DEEP_TREES, DEEP, RECALL = 5, 28, 8, 10, 0.9995
+WORDS, RECALL, LEAST_SET = 5, 0.9995, 4
+#: Tries, their depth and the levels at which they may be cut; the trees of the first lot; a leaf's most members.
+TREES, DEPTH, LEVELS, FIRST_LOT, LEAF = 28, 6, (2, 4, 6), 10, 8
+#: A node with more than this share of a lot's rows is hot: there are at most HOT of them, so they can be broadcast.
+HOT = 1000
+DEEP_TREES, DEEP = 8, 10
 #: One mixed bit of each of SKETCH_BITS MinHash values; two sets of similarity s agree in (1 + s) / 2 of them.
 SKETCH_BITS, SKETCH_DIFFER = 256, 51
-CELL_ROWS, CELL_SHINGLES, CHUNK = 512, 2_000_000, 1 << 20
+CELL_ROWS, CELL_SHINGLES, NODE_ROWS, CHUNK = 128, 2_000_000, 512, 1 << 20
 M64 = (1 << 64) - 1
 
 
-def forest_depth(trees: int = TREES, deepest: int = DEEP, recall: float = RECALL, s: float = 0.8) -> int:
-    """The deepest prefix at which a pair of similarity s meets in some tree with probability recall or more."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - s**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def miss(depth: int, s: float = 0.8) -> float:
+    """Logarithm of the probability that a pair of similarity s doesn't share a prefix of this depth in one tree."""
+    return math.log(1 - s**depth)
 
 
-DEPTH = forest_depth()
 _rng = np.random.default_rng(20240607)
 A, B = (_rng.integers(0, 1 << 32, max(SKETCH_BITS, TREES * DEPTH + DEEP_TREES * (DEEP - DEPTH)), dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
 BASE = 0x9E3779B97F4A7C15
@@ -122,17 +129,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def prefixes(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Node ids of a signature at DEPTH in every tree, and at DEEP in the first DEEP_TREES trees."""
-    heads = sig[: TREES * DEPTH].reshape(TREES, DEPTH).astype(np.uint64)
-    node = np.arange(1, TREES + 1, dtype=np.uint64)
-    for level in range(DEPTH):
-        node = mixed(node * np.uint64(BASE) + heads[:, level])
-    deep = node[:DEEP_TREES] ^ np.uint64(0x5DEECE66D)
+def labels(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In every tree the hash of the first two values, and 16 bits of each further one; in DEEP_TREES the hash of DEEP values."""
+    values = sig[: TREES * DEPTH].reshape(TREES, DEPTH).astype(np.uint64)
+    head = mixed(mixed(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(BASE) + values[:, 0]) * np.uint64(BASE) + values[:, 1])
+    tail = np.zeros(TREES, np.uint64)
+    for level in range(2, DEPTH):
+        tail = (tail << np.uint64(16)) | (mixed(values[:, level] + np.uint64(level)) >> np.uint64(48))
+    deep = mixed(head[:DEEP_TREES] ^ mixed(tail[:DEEP_TREES]))
     tails = sig[TREES * DEPTH :][: DEEP_TREES * (DEEP - DEPTH)].reshape(DEEP_TREES, DEEP - DEPTH).astype(np.uint64)
     for level in range(DEEP - DEPTH):
         deep = mixed(deep * np.uint64(BASE) + tails[:, level])
-    return node.view(np.int64), deep.view(np.int64)
+    return head.view(np.int64), tail.view(np.int64), deep.view(np.int64)
+
+
+def node(level: int) -> Column:
+    """The trie node of a row's prefix of this length."""
+    return F.col("head") if level == 2 else F.xxhash64("head", F.shiftrightunsigned("tail", 16 * (DEPTH - level)), F.lit(level))
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
@@ -154,7 +167,7 @@ def text_key(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key, digest, size, nodes, deep, sketch of every text that has a word; rows without an id are left out."""
+    """doc_id, key, digest, size, heads, tails, deep, sketch of every text that has a word; rows without an id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,26 +178,74 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     s = shingle_set(text.as_py())
                     if len(s):
                         sig = signature(s)
-                        nodes, deep = prefixes(sig)
-                        rows.append((i, key, digest(s), len(s), nodes, deep, sketch(sig)))
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "key", "digest", "size", "nodes", "deep", "sketch"])
+                        rows.append((i, key, digest(s), len(s), *labels(sig), sketch(sig)))
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "key", "digest", "size", "heads", "tails", "deep", "sketch"])
 
     src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    return src.mapInArrow(tidy(run), "doc_id long, key binary, digest binary, size int, nodes array<long>, deep array<long>, sketch array<long>")
+    return src.mapInArrow(tidy(run), "doc_id long, key binary, digest binary, size int, heads array<long>, tails array<long>, deep array<long>, sketch array<long>")
+
 
+def cut(rows: DataFrame, most: int) -> DataFrame:
+    """rows (rid, node, and more) of nodes with two members or more, with n, their number.
 
-def shared_nodes(reps: DataFrame, column: str) -> DataFrame:
-    """(node, rid) of the nodes that hold two representatives or more."""
-    each = reps.select("rid", F.explode(column).alias("node"))
-    full = each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-    return each.join(full, "node")
+    Rows of hot nodes, with more than ``most`` members, meet their counts by a broadcast of at most HOT nodes; the rest
+    meet them by the node.
+    """
+    counts = stash(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "forest-counts")
+    hot = F.broadcast(counts.filter(F.col("n") > most))
+    return rows.join(hot, "node").unionByName(rows.join(hot.select("node"), "node", "left_anti").join(counts.filter(F.col("n") <= most), "node"))
+
+
+def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rid, node) of the leaves with two members or more, and of the nodes that are still heavy at DEPTH."""
+    active = reps.filter(F.col("size") >= LEAST_SET).select("rid", "heads", "tails")
+    leaves, heavy = [], []
+    for first, trees in ((0, FIRST_LOT), (FIRST_LOT, TREES - FIRST_LOT)):
+        rows = active.select("rid", F.inline(F.arrays_zip(F.slice("heads", first + 1, trees), F.slice("tails", first + 1, trees))).alias("head", "tail"))
+        most = max(LEAF, active.count() * trees // HOT)
+        longer = []  # (rid, what its recall loses) of prefixes that couldn't end at a level
+        for level, after in zip(LEVELS, (*LEVELS[1:], None), strict=True):
+            here = stash(cut(rows.withColumn("node", node(level)), most), "forest-level")
+            leaves.append(here.filter(F.col("n") <= LEAF).select("rid", "node"))
+            rows = here.filter(F.col("n") > LEAF)
+            if after is None:
+                heavy.append(rows.select("rid", "node"))
+            else:
+                longer.append(rows.select("rid", F.lit(miss(after) - miss(level)).alias("loss")))
+                rows = rows.select("rid", "head", "tail")
+            if not rows.limit(1).count():
+                break
+        if first == 0:
+            short = math.log(1 - RECALL) - trees * miss(LEVELS[0])
+            crowded = reduce(DataFrame.union, longer).groupBy("rid").agg(F.sum("loss").alias("loss")).filter(F.col("loss") > short)
+            crowded = stash(crowded.select("rid"), "forest-crowded")
+            active = active.join(F.broadcast(crowded) if fits_broadcast(crowded) else crowded, "rid", "left_semi")
+    none = reps.limit(0).select("rid", F.lit(0).cast("long").alias("node"))
+    return reduce(DataFrame.union, leaves), reduce(DataFrame.union, heavy, none)
+
+
+def leaf_pairs(leaves: DataFrame, reps: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the leaves: their members come together, LEAF at most, and are filtered as in ``cross_pairs``."""
+    words = [f"w{i}" for i in range(SKETCH_BITS // 64)]
+    met = leaves.join(reps.select("rid", "size", *bits()), "rid").groupBy("node").agg(F.collect_list(F.struct("rid", "size", *words)).alias("m"))
+    apart = lambda x, y: sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in words), F.lit(0))
+    near = lambda x, y: (10 * F.least(x["size"], y["size"]) >= 8 * F.greatest(x["size"], y["size"])) & (apart(x, y) <= SKETCH_DIFFER)
+    others = lambda x, i: F.filter(F.slice(F.col("m"), i + 2, F.lit(LEAF)), lambda y: near(x, y))
+    pair = lambda x, y: F.struct(F.least(x["rid"], y["rid"]).alias("a"), F.greatest(x["rid"], y["rid"]).alias("b"))
+    return met.select(F.inline(F.flatten(F.transform("m", lambda x, i: F.transform(others(x, i), lambda y: pair(x, y)))))).distinct()
+
+
+def shared_deep(reps: DataFrame) -> DataFrame:
+    """(node, rid) of the prefixes of DEEP values that two representatives or more share."""
+    each = reps.select("rid", F.explode("deep").alias("node"))
+    return cut(each, max(LEAF, reps.count() * DEEP_TREES // HOT)).select("node", "rid")
 
 
 def clusters(reps: DataFrame) -> DataFrame:
     """(rid, cluster) of representatives that share a node of full depth with another: minimum label, two rounds."""
-    met = stash(shared_nodes(reps, "deep"), "forest-deep")
+    met = stash(shared_deep(reps), "forest-deep")
     label = met.select("rid").distinct().withColumn("cluster", F.col("rid"))
     for _ in range(2):
         low = met.join(label, "rid").groupBy("node").agg(F.min("cluster").alias("low"))
@@ -283,11 +344,11 @@ def bits(end: str = "") -> list[Column]:
 
 
 def mixed_members(nodes: DataFrame, cluster: DataFrame) -> DataFrame:
-    """(node, rid, cluster, main, head) for nodes with members of several clusters; main is the node's largest, head its first member there."""
+    """(node, rid, cluster, main, head, blocks) for nodes with members of several clusters; main is the node's largest, head its first member there."""
     met = nodes.join(cluster, "rid", "left").select("node", "rid", F.coalesce("cluster", "rid").alias("cluster"))
     own = met.groupBy("node", "cluster").agg(F.count(F.lit(1)).alias("k"), F.min("rid").alias("head"))
-    main = own.groupBy("node").agg(F.max(F.struct("k", "cluster", "head")).alias("m"), F.count(F.lit(1)).alias("kinds"))
-    return met.join(main.filter("kinds > 1").select("node", F.col("m.cluster").alias("main"), F.col("m.head").alias("head")), "node")
+    main = own.groupBy("node").agg(F.max(F.struct("k", "cluster", "head")).alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("all"))
+    return met.join(main.filter("kinds > 1").select("node", F.col("m.cluster").alias("main"), F.col("m.head").alias("head"), F.ceil(F.col("all") / NODE_ROWS).alias("blocks")), "node")
 
 
 def adopted(nodes: DataFrame, cluster: DataFrame, reps: DataFrame) -> DataFrame:
@@ -308,22 +369,33 @@ def adopted(nodes: DataFrame, cluster: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def cross_pairs(nodes: DataFrame, cluster: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different clusters that meet in a node of the forest.
+    """Distinct candidate pairs (a, b) of different clusters that meet in a heavy node.
 
     In each node only the members outside its main cluster are joined with the node, so that a node full of one
-    cluster's texts costs as many rows as it has members. The join's condition drops pairs whose sizes rule a link out,
+    cluster's texts costs as many rows as it has members. A node of many clusters is dealt into cells of NODE_ROWS
+    members a side, so no task meets more than a cell at once. The join's condition drops pairs whose sizes rule a link out,
     or whose sketches differ in more than SKETCH_DIFFER bits: over five deviations from what a similarity of 0.8 gives,
     and where texts that share a passage, but no more, come out.
     """
     here = stash(mixed_members(nodes, cluster).join(reps.select("rid", "size", *bits()), "rid"), "forest-mixed")
+    block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rid", "size", "cluster", *(f"w{i}" for i in range(SKETCH_BITS // 64)))]
-    minor, other = here.filter("cluster <> main").select("node", *side("a")), here.select("node", "main", *side("b"))
+    minor = here.filter("cluster <> main").select("node", block.alias("i"), every.alias("j"), *side("a"))
+    other = here.select("node", block.alias("j"), every.alias("i"), "main", *side("b"))
     fits = (F.col("cluster_a") != F.col("cluster_b")) & (10 * F.least("size_a", "size_b") >= 8 * F.greatest("size_a", "size_b")) & (differ("_a", "_b") <= SKETCH_DIFFER)
     once = (F.col("cluster_b") == F.col("main")) | (F.col("rid_a") < F.col("rid_b"))
-    pairs = minor.join(other, (minor["node"] == other["node"]) & fits & once)
+    pairs = minor.join(other, (minor["node"] == other["node"]) & (minor["i"] == other["i"]) & (minor["j"] == other["j"]) & fits & once)
     return pairs.select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
 
 
+def across_clusters(pairs: DataFrame, cluster: DataFrame) -> DataFrame:
+    """The pairs, each once, less those inside a cluster, which cells count."""
+    side = lambda x: cluster.select(F.col("rid").alias(x), F.col("cluster").alias(f"c{x}"))
+    out = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return out.filter(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are linked."""
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("shingles").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
@@ -357,20 +429,23 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key, class_id and class_key (the least id of the component, and its text's key), copy_id, n_links per row with an id and a word."""
     bound_batches(docs.sparkSession)
     prints = stash(fingerprints(docs, id_col, text_col), "forest-prints")
-    firsts = [F.first(c).alias(c) for c in ("size", "nodes", "deep", "sketch")]  # equal for equal digests
-    reps = prints.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("n"), *firsts)
-    reps = stash(reps.select("digest", "least.doc_id", "least.key", "n", "size", "nodes", "deep", "sketch").withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
-    nodes = stash(shared_nodes(reps, "nodes"), "forest-nodes")
-    cluster = clusters(reps)
+    labels = ["size", "heads", "tails", "deep", "sketch"]  # equal for equal digests
+    reps = prints.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in labels])
+    reps = stash(reps.select("digest", "least.doc_id", "least.key", "n", *labels).withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
+    leaves, heavy = forest(reps)
+    found = stash(leaf_pairs(leaves, reps), "forest-found")
+    nodes = stash(heavy, "forest-nodes")
+    dense = stash(reps.join(nodes.select("rid").distinct(), "rid", "left_semi").select("rid", "deep", "size", "sketch"), "forest-dense")
+    cluster = clusters(dense)
     for _ in range(2):
-        cluster = adopted(nodes, cluster, reps)
+        cluster = adopted(nodes, cluster, dense)
     info = reps.select("rid", "doc_id", "key", "digest", "n", "size")
     members = cluster.join(info, "rid")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s")).filter("k > 1")
     sizes = stash(sizes.select("cluster", F.greatest(F.ceil(F.col("k") / CELL_ROWS), F.ceil(F.col("s") / CELL_SHINGLES)).alias("blocks")), "forest-cells")
     inside = with_sets(docs, members.join(sizes.select("cluster"), "cluster").select("doc_id", "key", "digest", "rid", "n", "cluster"), id_col, text_col)
     counted = stash(cells(inside, sizes), "forest-counted")
-    pairs = stash(cross_pairs(nodes, cluster, reps), "forest-pairs")
+    pairs = stash(across_clusters(found.union(cross_pairs(nodes, cluster, dense)), cluster), "forest-pairs")
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
     across = stash(verified(pairs, with_sets(docs, ends.join(info, "rid").select("doc_id", "key", "digest", "rid", "n"), id_col, text_col)).distinct(), "forest-across")
     links = counted.select("rid", "links").union(across.select("a", "nb")).union(across.select("b", "na")).groupBy("rid").agg(F.sum("links").alias("links"))

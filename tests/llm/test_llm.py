@@ -285,8 +285,8 @@ def test_near_duplicates_short_texts(spark, monkeypatch):
         rows += [(i, " ".join(w[:8])), (i + 1, " ".join(w))]
     monkeypatch.setattr(neardup, "clusters", lambda reps: reps.limit(0).select("rid", F.col("rid").alias("cluster")))
     monkeypatch.setattr(neardup, "adopted", lambda nodes, cluster, reps: cluster)
-    nodes = [set(neardup.prefixes(neardup.signature(neardup.shingle_set(t)))[0].tolist()) for _, t in rows]
-    want = {i for i in range(0, 4000, 2) if nodes[i] & nodes[i + 1]}
+    heads = [neardup.labels(neardup.signature(neardup.shingle_set(t)))[0][: neardup.FIRST_LOT].tolist() for _, t in rows]
+    want = {i for i in range(0, 4000, 2) if any(a == b for a, b in zip(heads[i], heads[i + 1]))}  # every leaf is at depth 2 here
     got = neardup.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links = 1 AND doc_id % 2 = 0")
     assert {r.doc_id for r in got.collect()} == want and len(want) >= 1995
 
@@ -296,7 +296,7 @@ def test_shingles_of_long_words(monkeypatch):
     whole = neardup.word_hashes(text)
     monkeypatch.setattr(neardup, "CHUNK", 64)
     assert np.array_equal(whole, neardup.word_hashes(text)) and len(whole) == 6
-    assert 1 - (1 - 0.8**neardup.DEPTH) ** neardup.TREES >= neardup.RECALL
+    assert 1 - math.exp(neardup.TREES * neardup.miss(neardup.DEPTH)) >= neardup.RECALL
 
 
 # --- 6 ---------------------------------------------------------------------------------------------------------------
