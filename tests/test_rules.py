@@ -271,6 +271,18 @@ def test_stash_and_clean(spark):
     assert clean(spark) == 1 and clean(spark) == 0
 
 
+def test_no_local_folder_on_a_cluster():
+    """Without spark.checkpoint.dir a temp folder serves only where Spark is one process."""
+    from types import SimpleNamespace
+
+    from dialmill import runtime
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]", "k8s://https://host"):
+        fake = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            runtime.shared_dir(fake)
+
+
 def test_spread_small_inputs(spark, tmp_path):
     from dialmill.runtime import spread
 
