@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of a bounded sample of labelled texts in parallel (SAMPLE_PER_LANG documents of each language in
-expectation, chosen by a hash of the id); the matrix of log probabilities is broadcast, and batches of whole texts are
+expectation, chosen by a hash of the id and the text); the matrix of log probabilities is broadcast, and batches of whole texts are
 scored in numpy by gathering matrix rows and summing them by document. Probabilities are kept as integers, so a text's
 score doesn't depend on how texts are batched.
 
@@ -24,6 +24,8 @@ from dialmill.runtime import bound_batches, tidy, without
 
 BITS, ORDERS, SAMPLE_PER_LANG, MAX_LANGS, WINDOW = 15, (1, 2, 3), 3000, 256, 1 << 18
 FIXED = 1 << 16
+#: Java's name for the code points that Python's str.isalpha() counts.
+LETTER = r"\p{L}"
 _fold: np.ndarray | None = None
 
 
@@ -108,7 +110,7 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learn from the rows given, a hash sample of about per_lang texts of each language."""
     bound_batches(docs.sparkSession)
-    seen = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    seen = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER))
     sizes = {r[0]: r[1] for r in seen.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
@@ -117,7 +119,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0))
     shares = spark.createDataFrame([(v, i, min(1.0, per_lang / sizes[v])) for i, v in enumerate(langs)], "__lang string, __k int, __share double")
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
     sample = seen.select(F.col(lang_col), F.col(text_col).alias("__text"), draw.alias("__u")).join(F.broadcast(shares), F.col(lang_col) == F.col("__lang")).filter("__u < __share").select("__k", "__text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

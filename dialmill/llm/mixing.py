@@ -1,10 +1,13 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Token totals per source give targets by water filling; a document is emitted ``floor(rate)`` times plus one more
-time when a number hashed from its id and the seed falls below the fraction of the rate.
+time when a number hashed from the row, its number among equal rows, and the seed falls below the fraction of the rate.
+
+Each row draws for itself: the number comes from the id, the text's digest, the source and the other columns, so rows
+without an id, or with a repeated one, don't draw alike; rows that are equal in every column are numbered.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own, last in
-order; an empty table gives an empty result; rows that repeat an id draw alike; columns that clash with the output
+order; an empty table gives an empty result; null ids and repeated rows draw one by one; columns that clash with the output
 names are replaced.
 """
 
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialmill.llm.text import word_count
-from dialmill.runtime import lookup_join, stash, without
+from dialmill.runtime import fits_broadcast, lookup_join, stash, without
 
 WEIGHTS, CEILING, SEED = (5, 2, 1), 3, "mix-1"
 OWN = ["size", "source_size", "target", "rate", "copies", "taken"]
@@ -45,22 +48,50 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceilin
 
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) from the md5 of key and seed; 52 bits, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"|{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def digest(text: Column) -> Column:
+    """The md5 of a text, empty for null: it stands for the text wherever a row's key is needed."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def numbered(docs: DataFrame, key: Column) -> DataFrame:
+    """docs with ``__row_key``, and ``__k``, from 0 among the rows of equal keys.
+
+    Only narrow keys are shuffled, pre-aggregated by task; rows of a repeated key come together as one row and a count,
+    however many there are, and are dealt out again.
+    """
+    docs = docs.withColumn("__row_key", key)
+    often = stash(docs.groupBy("__row_key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "mix-repeated")
+    if not often.limit(1).count():
+        return docs.withColumn("__k", F.lit(0).cast("long"))
+    side = F.broadcast(often) if fits_broadcast(often) else often
+    single = docs.join(side, "__row_key", "left_anti").withColumn("__k", F.lit(0).cast("long"))
+    row = F.struct(*[c for c in docs.columns if c != "__row_key"])
+    again = docs.join(side.select("__row_key"), "__row_key", "left_semi").groupBy("__row_key").agg(F.first(row).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    dealt = again.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    return single.unionByName(dealt.select("__row.*", "__row_key", "__k"))
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, sized: bool = False) -> DataFrame:
     """Every document with size, source_size, target, rate, copies and taken (copies * size).
 
-    sized: docs hold their sizes in ``size`` already, and no text is read.
+    sized: docs hold their sizes in ``size`` already, and their texts' digests in text_col; no text is read.
     """
     docs = without(docs, [c for c in OWN if not (sized and c == "size")])
+    mark = F.col(text_col) if sized else digest(F.col(text_col))
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    others = [c for c in docs.columns if c not in (id_col, text_col, source_col, "size")]
+    more = [F.md5(F.to_json(F.struct(*others)).cast("binary"))] if others else []
+    docs = numbered(docs, F.concat_ws("|", part(F.col(id_col)), mark, part(F.col(source_col)), *more))
     docs = docs if sized else docs.withColumn("size", word_count(F.col(text_col)))
     totals = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     targets = stash(source_targets(totals, weights, ceiling), "mix-targets").withColumnRenamed("source", source_col)
-    out = lookup_join(docs, targets, source_col, F.col(id_col))
+    out = lookup_join(docs, targets, source_col, F.col("__row_key"))
     whole = F.floor("rate")
-    extra = (uniform(F.col(id_col), seed) < F.col("rate") - whole).cast("long")
-    return out.withColumn("copies", whole + extra).withColumn("taken", F.col("copies") * F.col("size"))
+    extra = (uniform(F.concat_ws("|", "__row_key", F.col("__k").cast("string")), seed) < F.col("rate") - whole).cast("long")
+    return out.withColumn("copies", whole + extra).withColumn("taken", F.col("copies") * F.col("size")).drop("__row_key", "__k")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

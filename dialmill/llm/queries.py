@@ -44,13 +44,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = stash(docs, "mix-sizes")  # texts are read once; totals and plan work on their sizes
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.digest(F.col("text")).alias("text"), word_count(F.col("text")).alias("size"))
+    sized = stash(docs, "mix-sizes")  # texts are read once; totals and plan work on their sizes and digests
     return mixing.plan_mix(sized, sized=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH e AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, '')) || '|' || coalesce(source, 'null') AS key FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY size) - 1 AS k FROM e),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 i AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM s),
 w AS (SELECT *, [5, 2, 1][(idx % 3 + 1)::INT] AS w, 3 * source_size AS cap FROM i),
@@ -59,7 +60,7 @@ l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0)
 t AS (SELECT source, source_size, least(cap::DOUBLE, w * max(level) OVER ()) AS target FROM l),
 r AS (SELECT *, least(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END, 3.0) AS rate FROM t)
 SELECT doc_id, size, source_size, target,
-       (size * (floor(rate)::BIGINT + (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|mix-1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate))::BIGINT))::BIGINT AS taken
+       (size * (floor(rate)::BIGINT + (('0x' || substr(md5(key || '|' || k || '|mix-1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate))::BIGINT))::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 

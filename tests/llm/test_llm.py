@@ -156,6 +156,22 @@ def test_mix(spark, sf):
     assert 0.7 < full.t / full.s < 1.3
 
 
+@pytest.mark.parametrize("ids", ["null", "same", "rows"])
+def test_mix_without_distinct_ids(spark, ids):
+    """Null ids, one repeated id, and one row 9,000 times: each source's words still come near its target."""
+    rows = [(None if ids == "null" else 7 if ids == "same" else i, "one two three" if ids == "rows" and i % 3 == 0 else f"text {i} of {'many ' * (i % 5)}", f"s{i % 5}", "en") for i in range(30_000)]
+    if ids == "rows":
+        rows = [(0, r[1], "s0", "en") if r[1] == "one two three" else r for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    plan = mixing.plan_mix(df)
+    assert plan.count() == len(rows)
+    for r in plan.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
+        assert abs(r.t / r.g - 1) < 0.05
+    again = mixing.plan_mix(df.repartition(7))
+    assert plan.groupBy("text", "source").agg(F.sum("copies")).exceptAll(again.groupBy("text", "source").agg(F.sum("copies"))).count() == 0
+    assert mixing.mix(df).count() == plan.agg(F.sum("copies")).first()[0]
+
+
 def test_mix_without_broadcast(spark, monkeypatch):
     import dialmill.runtime as rt
 
