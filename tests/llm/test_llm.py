@@ -206,21 +206,56 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule) == brute_rule(r.url)[:3] and r.verdict == (brute_rule(r.url)[3] or "allow")
 
 
+def brute_rules(baskets, least=urlrules.LEAST_COUNT):
+    """Every token combination with enough bad urls, lift and significance, with its confidence."""
+    n, bad = len(baskets), sum(b for _, b in baskets)
+    seen, wrong = Counter(), Counter()
+    for items, b in baskets:
+        for m in range(1, 1 << len(items)):
+            s = tuple(sorted(t for k, t in enumerate(items) if m >> k & 1))
+            seen[s] += 1
+            wrong[s] += b
+    base = bad / n
+    return {s: wrong[s] / k for s, k in seen.items() if wrong[s] >= least and wrong[s] / k >= urlrules.LIFT * base and wrong[s] / k - base >= urlrules.DEVIATIONS * math.sqrt(base * (1 - base) / k)}
+
+
 def test_url_association_rules(spark):
     rows = [(i, f"http://{'spam' if i % 4 == 0 else 'good'}.net/{'win' if i % 8 == 0 else 'read'}/{i}") for i in range(400)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if i % 8 == 0 else 1, 0) for i in range(400)] + [(None, 0, None)], "doc_id long, quality int, toxic int")
     index = urlrules.mine(pages, labels)
-    items = index.collect()
-    counts = [({t for t in r.t}, i % 8 == 0) for i, r in enumerate(pages.select(urlrules.tokens(F.col("url")).alias("t")).collect())]
-    for r in items:  # every rule has the confidence and the support that it claims
-        hit = [bad for t, bad in counts if set(r["items"]) <= t]
-        assert sum(hit) / len(hit) == pytest.approx(r.confidence) and r.confidence >= urlrules.CONFIDENCE and sum(hit) >= urlrules.LEAST_COUNT and r.token in r["items"]
-    got = {r.page_id: r.verdict for r in urlrules.judge(pages, index).collect()}
-    assert got == {i: "block" if i % 8 == 0 else "allow" for i in range(400)}
+    baskets = [(r.t, i % 8 == 0) for i, r in enumerate(pages.select(urlrules.tokens(F.col("url")).alias("t")).collect())]
+    want = brute_rules(baskets)
+    got = index.collect()
+    assert {tuple(r.items): r.confidence for r in got} == pytest.approx(want) and len(want) > 10
+    assert all(r.token in r.items for r in got)
+    fresh = spark.createDataFrame([(1, "http://spam.net/win/9000"), (2, "http://good.net/read/9"), (2, "http://spam.net/win/9000"), (3, None), (4, "http://example.org/win/1")], "page_id long, url string")
+    said = sorted((r.page_id, r.verdict) for r in urlrules.judge(clash(fresh), index).collect())
+    assert said == [(1, "block"), (2, "allow"), (2, "block"), (3, "allow"), (4, "allow")]
     assert urlrules.mine(pages.limit(0), labels).count() == 0 and urlrules.judge(pages.limit(0), index).count() == 0
 
 
+def test_url_rules_without_broadcast(spark, monkeypatch):
+    import dialmill.runtime as rt
+
+    index = spark.createDataFrame([("host:a.b", ["host:a.b"], 1.0)], "token string, items array<string>, confidence double")
+    pages = spark.createDataFrame([(i, "http://a.b/x" if i % 3 else None) for i in range(60)] + [(None, "http://c.b/")], "page_id long, url string")
+    monkeypatch.setattr(rt, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(urlrules, "fits_broadcast", lambda df: False)
+    got = urlrules.judge(pages, index).collect()
+    assert len(got) == 61 and all((r.verdict == "block") == (r.url == "http://a.b/x") for r in got)
+
+
+def test_url_with_many_segments(spark):
+    """A hot url of 30 segments and 30 query keys makes nine tokens, so few itemsets; its rules still fire."""
+    hot = "http://x.y.z.net/" + "/".join(f"s{i}" for i in range(30)) + "/f.html?" + "&".join(f"k{i}=1" for i in range(30))
+    rows = [(i, hot if i % 2 else f"http://ok{i}.org/a") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    index = urlrules.mine(pages, labels)
+    assert 0 < index.count() < 1 << 9 and urlrules.judge(pages, index).filter("verdict = 'block'").count() == 100
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ def value(v):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         p = f"{sf}/{t}.parquet"
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     df, want = queries.queries()[name](spark, sf), c.sql(queries.oracle_sql()[name])
