@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialmill.llm import bpe, langid, mixing, neardup, pii, quality, sharding, topk, urlrules, warc
 from dialmill.llm.text import word_count
-from dialmill.runtime import shared_dir, stash, table
+from dialmill.runtime import shared_path, stash, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -98,7 +96,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     records = warc.read_archive(spark, path)
     return records.select("page_id", F.col("n_bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")

@@ -1,10 +1,11 @@
 """Content-addressed WARC archive.
 
-Three tables under one folder: ``payloads`` keeps each distinct payload once, under its SHA-256 and length; ``headers``
-keeps every record's exact header bytes with the digest it refers to. Reading back verifies each stored payload against
-its digest and rebuilds records by a join on the digest.
+Two tables under one folder: ``payloads`` keeps each distinct payload once, under its SHA-256 and length; ``headers``
+keeps every record's exact header bytes with the digest it refers to, and nothing else. Reading back parses the headers,
+verifies each stored payload against its digest and each header against its payload, rebuilds records by a join on the
+digest, and finds the record that a revisit refers to by a join on record ids.
 
-Defined cases: a null payload is an empty one; a null url leaves its header line out; records of the same id and payload
+Defined cases: a null payload is an empty one; a null url or id leaves its header line out; records of the same id and payload
 are the same record and have the same type; an empty table gives an empty archive; extra columns play no part. Payloads
 are compared by SHA-256 and length; the SHA-1 in headers is the one the format asks for.
 """
@@ -14,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialmill.runtime import stash
+from dialmill.runtime import lookup_join, stash
 
 LEAST, DATE = 1000, "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: An extension field: the id of the record's row.
+KEY = "X-Record-Key"
 
 
 def record_uri(page_id: Column) -> Column:
@@ -31,6 +34,7 @@ def header_text(page_id: Column, url: Column, kind: Column, sha1: Column, length
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     return F.concat(
         F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind), line("WARC-Record-ID", record_uri(page_id)), line("WARC-Date", F.lit(DATE)),
+        F.when(page_id.isNull(), "").otherwise(line(KEY, page_id.cast("string"))),
         F.when(url.isNull(), "").otherwise(line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]", ""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         F.when(kind == "revisit", F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", record_uri(refers)))).otherwise(""),
@@ -46,13 +50,13 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, id_col: str =
     """
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.sha2(body, 256).alias("sha256"), F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("n_bytes"))
-    keyed = keyed.withColumn("digest", F.concat_ws("-", "sha256", F.col("n_bytes").cast("string"))).drop("sha256")
+    keyed = stash(keyed.withColumn("digest", F.concat_ws("-", "sha256", F.col("n_bytes").cast("string"))).drop("sha256"), "warc-keyed")  # payloads are hashed once
     holders = keyed.groupBy("digest").agg(F.max("page_id").alias("holder"))
     kept = keyed.join(holders, "digest")
     revisit = (F.col("n_bytes") >= least) & F.coalesce(F.col("page_id") != F.col("holder"), F.col("holder").isNotNull())
     kept = kept.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("holder")))
     head = header_text(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("sha1"), F.col("n_bytes"), F.col("refers_to"))
-    kept.select("page_id", "digest", "record_type", "refers_to", head.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    kept.select("digest", head.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     # A holder's page may have other payloads under the same id, so the digest is taken again after the join; a holder
     # row that is repeated (m > 1) is told apart first, for only those payloads need a second shuffle.
     met = keyed.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("m")).groupBy("digest").agg(F.max(F.struct("page_id", "m")).alias("h"))
@@ -77,9 +81,34 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return got.select("digest", "payload", n.alias("n_bytes"), F.sha1("payload").alias("sha1"))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record: page_id, record_type, refers_to, header, payload (the full one, for revisits too), n_bytes, sha1."""
-    return spark.read.parquet(f"{path}/headers").join(read_payloads(spark, path), "digest")
+def field(header: Column, name: str) -> Column:
+    """The value of a header's field, null where it has none."""
+    return F.nullif(F.regexp_extract(header, rf"(?md)^{name}: ([^\r\n]*)", 1), F.lit(""))
+
+
+def read_headers(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """digest, header, and what the header says: record_type, uri, page_id, refers_uri, sha1, length."""
+    got = spark.read.schema("digest string, header binary").parquet(f"{path}/headers")
+    h = F.col("header").cast("string")
+    return got.select(
+        "digest", "header", field(h, "WARC-Type").alias("record_type"), field(h, "WARC-Record-ID").alias("uri"), field(h, KEY).cast(id_type).alias("page_id"),
+        field(h, "WARC-Refers-To").alias("refers_uri"), F.substring_index(field(h, "WARC-Payload-Digest"), ":", -1).alias("sha1"), field(h, "Content-Length").cast("long").alias("length"),
+    )
+
+
+def read_archive(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """Every record: page_id, record_type, refers_to, header, payload (the full one, for revisits too), n_bytes, sha1.
+
+    A header that doesn't agree with its payload raises. The responses that revisits refer to, one for each repeated
+    payload, come back by a broadcast where they fit, else by a salted join, so a hot one is spread.
+    """
+    heads = read_headers(spark, path, id_type)
+    asked = heads.filter("refers_uri IS NOT NULL").select(F.col("refers_uri").alias("uri")).distinct()
+    named = stash(heads.filter("record_type = 'response'").join(asked, "uri", "left_semi").select(F.col("uri").alias("refers_uri"), F.col("page_id").alias("refers_to")).distinct(), "warc-named")
+    full = lookup_join(heads, named, "refers_uri", F.col("uri")).join(read_payloads(spark, path).withColumnRenamed("sha1", "own_sha1"), "digest")
+    agrees = (F.col("sha1") == F.col("own_sha1")) & (F.col("length") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("n_bytes")))
+    kind = F.when(agrees, F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("header doesn't agree with payload "), "digest")).cast("string"))
+    return full.select("page_id", kind.alias("record_type"), "refers_to", "header", "payload", "n_bytes", "sha1")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:

@@ -375,6 +375,13 @@ def test_warc_round_trip(spark, tmp_path):
     spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit("bad").cast("binary")).write.parquet(str(tmp_path / "d/payloads"))
     with pytest.raises(Exception, match="damaged payload"):
         warc.read_payloads(spark, str(tmp_path / "d")).select("n_bytes").collect()
+    heads = spark.read.parquet(f"{path}/headers")
+    assert heads.columns == ["digest", "header"]  # types, ids and references come from the headers alone
+    (tmp_path / "g").mkdir()
+    heads.withColumn("header", F.replace(F.col("header").cast("string"), F.lit("Content-Length: 999"), F.lit("Content-Length: 998")).cast("binary")).write.parquet(str(tmp_path / "g/headers"))
+    spark.read.parquet(f"{path}/payloads").write.parquet(str(tmp_path / "g/payloads"))
+    with pytest.raises(Exception, match="doesn't agree"):
+        warc.read_archive(spark, str(tmp_path / "g")).select("record_type").collect()
     warc.write_archive(pages.limit(0), str(tmp_path / "e"))
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
 
