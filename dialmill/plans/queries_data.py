@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from dialmill.functions import rules as R
@@ -12,7 +10,7 @@ from dialmill.operators import generate as G
 from dialmill.operators import metrics
 from dialmill.operators import validate as V
 from dialmill.plans import derive as D
-from dialmill.runtime import fits_broadcast, shared_dir, stash, table
+from dialmill.runtime import fits_broadcast, shared_path, stash, table
 from dialmill.sources import readers
 from dialmill.streaming import incremental
 
@@ -219,7 +217,7 @@ def judge_stub_scores(spark, sf_dir):
 @query("SELECT md5(text) AS digest FROM documents WHERE text IS NOT NULL GROUP BY text")
 def streaming_dedup(spark, sf_dir):
     """Documents as a stream of files, deduplicated by digest in state, drained to a table."""
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.md5("text").alias("digest")).repartition(4).write.parquet(f"{base}/in")
     stream = incremental.first_seen(incremental.stream_table(spark, f"{base}/in", "digest string", 2), ["digest"])
     incremental.drain(stream, f"{base}/out", f"{base}/state")
