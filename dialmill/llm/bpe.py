@@ -1,9 +1,14 @@
-"""BPE encoding and decoding through distinct-word tables.
+"""BPE encoding through distinct-word tables, decoding through an id-to-piece join.
 
 Spark splits every text at ASCII white space, which no token of the vocabulary spans. A task holds one table of the
 distinct words of its texts: each is encoded once, and the texts' id sequences come from joining word positions with
-that table. Decoding joins ids with the id-to-piece table. The tables stay with the tasks: a word table for the whole
-corpus would have to send every occurrence of every word through a shuffle (see README), while no text moves here.
+that table. Decoding joins every id with the id-to-piece table, which has as many rows as the vocabulary and travels as a
+literal in the plan, so it is a lookup by position in the JVM; digests are taken there too. The word tables stay with the
+tasks: one for the whole corpus would have to send every occurrence of every word through a shuffle (see README), while
+no text moves here.
+
+The operator knows one family of tokenizers: lower-cased BPE with word-end marks, split at letters, digits and other
+characters, without a decoder. A file with other rules raises.
 
 Defined cases: null text is an empty text, with no tokens; texts are encoded whole, whatever their length; a table of
 words is emptied when it would exceed TABLE_WORDS (it is refilled, results don't change); columns that clash with the
@@ -13,13 +18,13 @@ output names are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import gc
-import hashlib
-from collections.abc import Callable, Iterable, Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +41,25 @@ SPLIT = f"(?s)^(?P<core>.*[0-9{LETTERS}])(?P<tail>[.,!?;:]+)$"
 PLAIN = f"^[{LETTERS}]+$"
 
 
+def pieces(file: str) -> list[str]:
+    """The piece of every id, in order of ids; a file whose rules this operator doesn't follow raises."""
+    with open(file, encoding="utf-8") as f:
+        rules = json.load(f)
+    model, kinds = rules["model"], lambda part, names: [x["type"] for x in (rules[part] or {}).get(names, [])]
+    splits = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    known = (
+        model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and not model.get("dropout") and not model.get("byte_fallback")
+        and kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"] and rules.get("decoder") is None
+        and splits.get("invert") and splits.get("pattern", {}).get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    )
+    if not known:
+        raise ValueError(f"{file}: not a lower-cased BPE with word-end marks and without a decoder")
+    names = {i: p for p, i in model["vocab"].items()} | {x["id"]: x["content"] for x in rules["added_tokens"]}
+    return [names.get(i, "") for i in range(max(names) + 1)]
+
+
 class WordTable:
-    """Distinct words; for each, the number of its ids, their decimal text, and its decoded text.
+    """Distinct words and the bytes of their ids.
 
     Words that occur twice or more among the texts coded together stay in the table for the texts that follow.
     """
@@ -49,17 +71,11 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
-        self.pieces = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        n = max(self.pieces) + 1
-        self.piece = [self.pieces.get(i, "") for i in range(n)]
-        self.piece_size = np.array([len(p) + 1 for p in self.piece], np.int64)
-        self.decimal = [str(i) for i in range(n)]
-        self.decimal_size = np.array([len(d) + 1 for d in self.decimal], np.int64)
-        self.last = np.array([p.endswith("</w>") for p in self.piece])
-        self.known: dict[str, tuple[int, str, str]] = {}
-
-    def encode(self, words: list[str], plain: bool) -> Iterator[tuple[int, str, str]]:
-        """The rows of distinct words, in order; many words are encoded in one text.
+        self.last = np.array([p.endswith("</w>") for p in pieces(file)])
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, words: list[str], plain: bool) -> Iterator[bytes]:
+        """The ids of distinct words, in order; many words are encoded in one text.
 
         A plain word, of letters only, ends where a token with the word-end mark does; elsewhere a token belongs to the
         word in which it starts.
@@ -67,19 +83,18 @@ class WordTable:
         for k in range(0, len(words), 1000):
             group = words[k : k + 1000]
             e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            ids = np.array(e.ids, np.int64)
+            ids = np.array(e.ids, np.int32)
             cut = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1]) if plain else None
             if cut is None or len(cut) != len(group) + 1:
                 starts = np.cumsum([0, *(len(w) + 1 for w in group)])
                 owner = np.searchsorted(starts, [a for a, _ in e.offsets], "right") - 1
                 cut = np.searchsorted(owner, np.arange(len(group) + 1))
-            said, text = (" ".join(map(names.__getitem__, e.ids)) for names in (self.decimal, self.piece))
-            at, to = ((np.concatenate([[0], np.cumsum(size[ids])])[cut]).tolist() for size in (self.decimal_size, self.piece_size))
-            for n, a, b, c, d in zip(np.diff(cut).tolist(), at, at[1:], to, to[1:], strict=False):
-                yield n, said[a : b - 1] if n else "", text[c : d - 1] if n else ""
+            raw, cut = ids.tobytes(), (cut * 4).tolist()
+            for a, b in zip(cut, cut[1:], strict=False):
+                yield raw[a:b]
 
-    def rows(self, words: pa.StringArray, occurs: np.ndarray) -> list[tuple[int, str, str]]:
-        """The row of each distinct word; words that aren't known are encoded, each once."""
+    def rows(self, words: pa.StringArray, occurs: np.ndarray) -> list[bytes]:
+        """The ids of each distinct word; words that aren't known are encoded, each once."""
         known, names = self.known, words.to_pylist()
         out = [known.get(w) for w in names]
         new = np.array([r is None for r in out], bool)
@@ -94,10 +109,6 @@ class WordTable:
         known.update((names[i], out[i]) for i in keep[: self.most])
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The join of ids with pieces; this vocabulary has no decoder, so pieces are joined by a space."""
-        return " ".join([self.pieces[i] for i in ids])
-
 
 def parted(words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
     """Core and tail of each word; the tail is null where the word isn't split. ASCII cores are lowered, as the vocabulary does."""
@@ -107,18 +118,18 @@ def parted(words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
     return pc.if_else(low, pc.ascii_lower(core), core), pc.struct_field(both, "tail")
 
 
-def encoder(file: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def encoder(file: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(file)
         on = gc.isenabled()
-        gc.disable()  # millions of small tuples and no cycles: collection would cost more than the encoding
+        gc.disable()  # many small objects and no cycles: collection would cost more than the encoding
         try:
             for batch in batches:
                 at = 0
                 chars = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("__words")).to_numpy(zero_copy_only=False))]) * 6
                 while at < batch.num_rows:  # bounded slices, one document at least
                     to = max(at + 1, int(np.searchsorted(chars, chars[at] + SLICE_CHARS, "right")) - 1)
-                    yield coded(table, batch.slice(at, to - at), with_ids)
+                    yield coded(table, batch.slice(at, to - at))
                     at = to
         finally:
             if on:
@@ -127,7 +138,7 @@ def encoder(file: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def coded(table: WordTable, batch: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
+def coded(table: WordTable, batch: pa.RecordBatch) -> pa.RecordBatch:
     """The join of word positions with the table, document by document."""
     words = batch.column("__words")
     offsets = words.offsets.to_numpy()
@@ -143,26 +154,23 @@ def coded(table: WordTable, batch: pa.RecordBatch, with_ids: bool) -> pa.RecordB
     at[place] = half[word]
     at[place[has_tail] + 1] = half[n:][word[has_tail]]
     rows = table.rows(halves.dictionary, np.bincount(at, minlength=len(halves.dictionary)))
-    count = np.array([r[0] for r in rows], np.int64)
-    said, text = (np.array([r[k] for r in rows], object) for k in (1, 2))
-    offsets = np.append(place, len(at))[offsets - offsets[0]] + offsets[0]
-    keep_word = (count > 0)[at]
-    ends = np.concatenate([[0], np.cumsum(keep_word)])[offsets - offsets[0]]
-    at = at[keep_word]
-    total = np.concatenate([[0], np.cumsum(count[at])])[ends]
-    n = np.diff(total)
-    said_of, text_of = said[at].tolist(), text[at].tolist()
-    spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-    lines = [" ".join(said_of[a:b]) for a, b in spans]
-    said_sha = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
-    text_sha = [hashlib.sha256(" ".join(text_of[a:b]).encode()).hexdigest() for a, b in spans]
+    count = np.array([len(r) // 4 for r in rows], np.int64)
+    first, every = np.cumsum(count) - count, np.frombuffer(b"".join(rows), np.int32)
+    total = np.concatenate([[0], np.cumsum(count[at])])
+    ids = every[np.repeat(first[at] - total[:-1], count[at]) + np.arange(total[-1])]
+    ends = total[np.append(place, len(at))[offsets - offsets[0]]]
     keep = [i for i, name in enumerate(batch.schema.names) if name != "__words"]
-    arrays = [batch.column(i) for i in keep] + [pa.array(n, pa.int64()), pa.array(said_sha, pa.string()), pa.array(text_sha, pa.string())]
-    names = [batch.schema.names[i] for i in keep] + ["n_tokens", "ids_sha256", "decoded_sha256"]
-    if with_ids:
-        arrays.append(pa.ListArray.from_arrays(total.astype(np.int32), np.array(" ".join(x for x in lines if x).split(), np.int32)))
-        names.append("ids")
-    return pa.RecordBatch.from_arrays(arrays, names)
+    arrays = [batch.column(i) for i in keep] + [pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(ends.astype(np.int32), ids)]
+    return pa.RecordBatch.from_arrays(arrays, [batch.schema.names[i] for i in keep] + ["n_tokens", "ids"])
+
+
+def decoded(ids: Column, file: str) -> Column:
+    """The text of ids: each joined with its piece, and pieces by a space, as this vocabulary has no decoder."""
+    names = pieces(file)
+    if any("\n" in p for p in names):
+        raise ValueError(f"{file}: a piece holds a line end")
+    table = F.split(F.lit("\n".join(names)), "\n")  # folded to a literal once
+    return F.array_join(F.transform(ids, lambda i: F.get(table, i)), " ")
 
 
 def encode(docs: DataFrame, file: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -173,15 +181,7 @@ def encode(docs: DataFrame, file: str, text_col: str = "text", keep: list[str] |
     kept = [c for c in without(docs, own).columns if keep is None or c in keep]
     split = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), lambda w: w != "")
     src = docs.select(*kept, split.alias("__words"))
-    schema = T.StructType([*src.select(*kept).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)])
-    return src.mapInArrow(tidy(encoder(file, with_ids)), schema)
-
-
-def decode_ids(coded: DataFrame, file: str, id_col: str, ids_col: str = "ids") -> DataFrame:
-    """id_col and the decoded text, by a join of each id with the id-to-piece table (as many rows as the vocabulary)."""
-    pieces = WordTable(file).pieces
-    table = coded.sparkSession.createDataFrame(sorted(pieces.items()), "id int, piece string")
-    each = coded.select(id_col, F.posexplode(ids_col).alias("pos", "id")).join(F.broadcast(table), "id")
-    joined = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
-    text = joined.select(id_col, F.array_join(F.col("p.piece"), " ").alias("decoded"))
-    return coded.select(id_col).join(text, id_col, "left").withColumn("decoded", F.coalesce("decoded", F.lit("")))
+    schema = T.StructType([*src.select(*kept).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = src.mapInArrow(tidy(encoder(file)), schema)
+    said = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return out.select(*kept, "n_tokens", said.alias("ids_sha256"), F.sha2(decoded(F.col("ids"), file), 256).alias("decoded_sha256"), *["ids"] * with_ids)

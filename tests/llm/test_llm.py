@@ -408,11 +408,16 @@ def test_bpe_against_whole_texts(spark, sf):
         assert x.ids == ids and x.n_tokens == len(ids)
         assert x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert x.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    back = bpe.decode_ids(got.filter("doc_id < 50").select("doc_id", "ids"), queries.vocabulary(), "doc_id")
+    back = got.filter("doc_id < 50").select("doc_id", bpe.decoded(F.col("ids"), queries.vocabulary()).alias("decoded"))
     assert all(r.decoded == t.decode(t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in back.collect())
     assert bpe.encode(df.limit(0), queries.vocabulary()).count() == 0
 
 
+def test_bpe_refuses_other_files(tmp_path):
+    with pytest.raises(ValueError, match="word-end"):
+        bpe.pieces(queries.vocabulary("byte_bpe_50k.json"))
+
+
 def test_bpe_table_is_bounded():
     t = bpe.WordTable(queries.vocabulary(), most=5)
     import pyarrow as pa
