@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialmill.llm.text import word_count
-from dialmill.runtime import fits_broadcast, lookup_join, stash, without
+from dialmill.llm.text import numbered, word_count
+from dialmill.runtime import lookup_join, stash, without
 
 WEIGHTS, CEILING, SEED = (5, 2, 1), 3, "mix-1"
 OWN = ["size", "source_size", "target", "rate", "copies", "taken"]
@@ -56,24 +56,6 @@ def digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def numbered(docs: DataFrame, key: Column) -> DataFrame:
-    """docs with ``__row_key``, and ``__k``, from 0 among the rows of equal keys.
-
-    Only narrow keys are shuffled, pre-aggregated by task; rows of a repeated key come together as one row and a count,
-    however many there are, and are dealt out again.
-    """
-    docs = docs.withColumn("__row_key", key)
-    often = stash(docs.groupBy("__row_key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "mix-repeated")
-    if not often.limit(1).count():
-        return docs.withColumn("__k", F.lit(0).cast("long"))
-    side = F.broadcast(often) if fits_broadcast(often) else often
-    single = docs.join(side, "__row_key", "left_anti").withColumn("__k", F.lit(0).cast("long"))
-    row = F.struct(*[c for c in docs.columns if c != "__row_key"])
-    again = docs.join(side.select("__row_key"), "__row_key", "left_semi").groupBy("__row_key").agg(F.first(row).alias("__row"), F.count(F.lit(1)).alias("__n"))
-    dealt = again.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    return single.unionByName(dealt.select("__row.*", "__row_key", "__k"))
-
-
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, sized: bool = False) -> DataFrame:
     """Every document with size, source_size, target, rate, copies and taken (copies * size).
 

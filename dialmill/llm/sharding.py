@@ -1,9 +1,11 @@
 """Minimum-cost-flow resharding.
 
-The corpus lies in old shards cut into blocks by a hash of id, text_crc32, size and the number among rows equal in these. From old shard bytes and new capacities a minimum
-cost flow (cost 1 a byte that leaves its shard, 0 a byte that stays) says how many bytes go where; the blocks of an old
-shard are then laid along its flows. Only the flow problem, whose size is shards times shards, is solved on the driver;
-documents meet the plan by a broadcast of the block table, which never exceeds MAX_BLOCKS rows.
+The corpus lies in old shards cut into blocks by a hash of id, text_crc32, size and the number among rows equal in these.
+From old shard bytes and new capacities a minimum cost flow (cost 1 a byte that leaves its shard, 0 a byte that stays)
+says how many bytes go where; the blocks of an old shard are then laid along its flows. Only the flow problem, whose size
+is shards times shards, is solved on the driver; documents meet the plan by a broadcast of the block table, which never
+exceeds MAX_BLOCKS rows. ``rewrite_affected`` then writes every shard that loses or gains a block anew, in files of about
+FILE_BYTES, by one shuffle of the rows to the files they go to; shards without a move aren't touched.
 
 Defined cases: null text has size 1 and crc32 0; a null id belongs to old shard 0; repeated rows keep a slot each, and
 neither they nor rows without an id share a block for that; an empty table gives an empty result; clashing column names are replaced.
@@ -13,12 +15,15 @@ from __future__ import annotations
 
 from heapq import heappop, heappush
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dialmill.runtime import stash
+from dialmill.llm.text import numbered
+from dialmill.runtime import stash, without
 
-MAX_BLOCKS = 32_768
+MAX_BLOCKS, FILE_BYTES = 32_768, 128 << 20
+OWN = ["size", "text_crc32", "old_shard", "block", "shard", "slot"]
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
@@ -68,19 +73,25 @@ def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
     return [[edges[e ^ 1][1] for e in row] for row in pipes]
 
 
-def reshard(docs: DataFrame, new_shards: int = 8, old_shards: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, size, text_crc32, old_shard, block, shard and slot (gapless from 0 in each shard)."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").__add__(1).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"), F.when(F.col(id_col).isNull(), 0).otherwise(F.pmod(F.crc32(key.cast("binary")), F.lit(old_shards))).cast("int").alias("old_shard"))
-    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))  # equal rows are numbered without sorting them
-    rows = rows.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
-    rows = stash(rows.withColumn("__h", F.xxhash64(key, "text_crc32", "size", "__c")).drop("__c"), "shard-rows")
-    each = max(1, min(rows.count(), MAX_BLOCKS) // old_shards)
-    rows = rows.withColumn("block", F.pmod("__h", F.lit(each)).cast("int")).drop("__h")
-    blocks = stash(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-blocks")
+def facts(docs: DataFrame, old_shards: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with size, text_crc32 and old_shard."""
+    key, text = F.col(id_col), F.col(text_col)
+    place = F.when(key.isNull(), 0).otherwise(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(old_shards))).cast("int")
+    return without(docs, OWN).withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, "text_crc32": F.coalesce(F.crc32(text.cast("binary")), F.lit(0)), "old_shard": place})
+
+
+def blocked(rows: DataFrame, blocks: int, id_col: str) -> DataFrame:
+    """rows of ``facts`` with their block, of ``blocks`` in each old shard; equal rows are numbered, so they spread over blocks."""
+    parts = [F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("text_crc32").cast("string"), F.col("size").cast("string")]
+    out = numbered(rows, F.concat_ws("|", *parts))
+    return out.withColumn("block", F.pmod(F.xxhash64("__row_key", "__k"), F.lit(blocks)).cast("int")).drop("__row_key", "__k")
+
+
+def layout(rows: DataFrame, new_shards: int, old_shards: int, blocks: int) -> DataFrame:
+    """(old_shard, block, shard, first, file): where each block goes, its first slot, and its file; MAX_BLOCKS rows at most."""
+    sizes = stash(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-blocks")
     supply = [0] * old_shards
-    for r in blocks.groupBy("old_shard").agg(F.sum("bytes").alias("b")).collect():  # a row per old shard
+    for r in sizes.groupBy("old_shard").agg(F.sum("bytes").alias("b")).collect():  # a row per old shard
         supply[r.old_shard] = r.b
     total = sum(supply)
     flow = min_cost_flow(supply, [total // new_shards + (j < total % new_shards) for j in range(new_shards)])
@@ -91,31 +102,53 @@ def reshard(docs: DataFrame, new_shards: int = 8, old_shards: int = 6, id_col: s
             if out[j]:
                 cuts.append((i, a, a + out[j], j))
                 a += out[j]
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(cuts, "old_shard int, a long, b long, shard int")
+    plan = rows.sparkSession.createDataFrame(cuts, "old_shard int, a long, b long, shard int")
     by_old = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     middle = 2 * F.coalesce(F.sum("bytes").over(by_old), F.lit(0)) + F.col("bytes")
-    laid = blocks.withColumn("mid", middle).join(F.broadcast(plan), "old_shard").filter((F.col("mid") >= 2 * F.col("a")) & (F.col("mid") < 2 * F.col("b")))
+    laid = sizes.withColumn("mid", middle).join(F.broadcast(plan), "old_shard").filter((F.col("mid") >= 2 * F.col("a")) & (F.col("mid") < 2 * F.col("b")))
     before = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    laid = laid.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("old_shard", "block", "shard", "first")
-    inside = Window.partitionBy("old_shard", "block").orderBy(id_col, "text_crc32", "size")
-    rows = rows.withColumn("__rn", F.row_number().over(inside))
-    out = rows.join(F.broadcast(laid), ["old_shard", "block"])  # at most MAX_BLOCKS rows
-    return out.select(id_col, "size", "text_crc32", "old_shard", "block", "shard", (F.col("first") + F.col("__rn") - 1).cast("long").alias("slot"))
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    return stash(laid.select("old_shard", "block", "shard", so_far("n").alias("first"), F.floor(so_far("bytes") / FILE_BYTES).alias("file"), "bytes", "n"), "shard-layout")
+
+
+def blocks_for(n: int, old_shards: int) -> int:
+    return max(1, min(n, MAX_BLOCKS) // old_shards)
+
+
+def slot(id_col: str) -> Column:
+    """A row's place in its shard: after the blocks before its own, by id, crc and size."""
+    inside = Window.partitionBy("shard", "file", "old_shard", "block").orderBy(id_col, "text_crc32", "size")
+    return (F.col("first") + F.row_number().over(inside) - 1).cast("long")
+
+
+def reshard(docs: DataFrame, new_shards: int = 8, old_shards: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The plan per document: id, size, text_crc32, old_shard, block, shard and slot (gapless from 0 in each shard). No text moves."""
+    rows = stash(facts(docs, old_shards, id_col, text_col).select(id_col, "size", "text_crc32", "old_shard"), "shard-facts")
+    blocks = blocks_for(rows.count(), old_shards)
+    rows = stash(blocked(rows, blocks, id_col), "shard-rows")
+    out = rows.join(F.broadcast(layout(rows, new_shards, old_shards, blocks)), ["old_shard", "block"])
+    return out.withColumn("slot", slot(id_col)).select(id_col, *OWN)
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the documents whose shard changed, as files by new shard, and return the move list (old, new, documents, bytes).
+def rewrite_affected(docs: DataFrame, path: str, new_shards: int = 8, old_shards: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write every shard that loses or gains documents, whole, under path/shard=j: the columns of docs with old_shard and slot.
 
-    Old files are not rewritten: they still hold the moved documents, and the move list has counts, not ids.
+    Returns the moves (old_shard, shard, blocks, documents, bytes), stays included. A shard without a move in or out is
+    not written: its old files stand, and its rows keep the slots of ``reshard``.
     """
-    # Rows equal in id, size and crc32 may go to different shards: both sides number them.
-    same = ["__id", "__size", "__crc"]
-    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
-    moved = plan.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "old_shard", "shard").withColumn("__c", number)
-    moved = moved.filter("shard <> old_shard").drop("old_shard").withColumnsRenamed({c: f"{c}_p" for c in (*same, "__c")})
-    text = F.col(text_col)
-    own = docs.withColumns({"__id": F.col(id_col), "__size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, "__crc": F.coalesce(F.crc32(text.cast("binary")), F.lit(0))}).withColumn("__c", number)
-    match = F.col("__id").eqNullSafe(F.col("__id_p")) & (F.col("__size") == F.col("__size_p")) & (F.col("__crc") == F.col("__crc_p")) & (F.col("__c") == F.col("__c_p"))
-    own.join(moved, match).select(*docs.columns, "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return plan.filter("shard <> old_shard").groupBy("old_shard", "shard").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("bytes"))
+    narrow = stash(facts(docs, old_shards, id_col, text_col).select(id_col, "size", "text_crc32", "old_shard"), "shard-facts")
+    blocks = blocks_for(narrow.count(), old_shards)
+    laid = layout(blocked(narrow, blocks, id_col), new_shards, old_shards, blocks)
+    moves = stash(laid.groupBy("old_shard", "shard").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("documents"), F.sum("bytes").alias("bytes")), "shard-moves")
+    moved = moves.filter("old_shard <> shard")
+    affected = moved.select("shard").union(moved.select("old_shard")).distinct()  # as many rows as shards
+    rows = blocked(facts(docs, old_shards, id_col, text_col), blocks, id_col).join(F.broadcast(laid.drop("bytes", "n")), ["old_shard", "block"]).join(F.broadcast(affected), "shard", "left_semi")
+    kept = [c for c in without(docs, OWN).columns]
+    rows.repartition("shard", "file").withColumn("slot", slot(id_col)).select(*kept, "old_shard", "shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return moves
+
+
+def read_shards(docs: DataFrame, path: str) -> DataFrame:
+    """What ``rewrite_affected`` wrote under path for docs: their columns, old_shard, slot and shard."""
+    schema = without(docs, OWN).schema.add("old_shard", T.IntegerType()).add("slot", T.LongType()).add("shard", T.IntegerType())
+    return docs.sparkSession.read.schema(schema).option("basePath", path).parquet(path)

@@ -457,11 +457,22 @@ def test_reshard(spark, sf, tmp_path):
     assert max(sums) - min(sums) <= 4 * most
     odd = sharding.reshard(odd_docs(spark)).collect()
     assert len(odd) == 10 and all(0 <= r.shard < 8 for r in odd) and sharding.reshard(d.limit(0)).count() == 0
-    plan = sharding.reshard(d).cache()
-    moves = sharding.rewrite_affected(d, plan, str(tmp_path / "m"))
-    moved = spark.read.parquet(str(tmp_path / "m"))
-    assert moved.count() == moves.agg(F.sum("documents")).first()[0] == plan.filter("shard <> old_shard").count()
-    assert moved.join(plan.select("doc_id", F.col("shard").alias("to")), "doc_id").filter("shard <> to").count() == 0
+    plan = {(r.doc_id, r.shard, r.slot, r.old_shard) for r in sharding.reshard(d).collect()}
+    moves = sharding.rewrite_affected(d, str(tmp_path / "m"))
+    files = sharding.read_shards(d, str(tmp_path / "m"))
+    assert {(r.doc_id, r.shard, r.slot, r.old_shard) for r in files.collect()} == plan and files.select(*d.columns).exceptAll(d).count() == 0 and files.count() == d.count()
+    assert moves.agg(F.sum("documents")).first()[0] == d.count() and sharding.rewrite_affected(d.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_untouched_shards_are_not_written(spark, tmp_path, monkeypatch):
+    """Shards that neither lose nor gain keep their files; the others are whole again."""
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    monkeypatch.setattr(sharding, "min_cost_flow", lambda supply, room: [[supply[0] // 2, supply[0] - supply[0] // 2, 0], [0, supply[1], 0], [0, 0, supply[2]]])
+    plan = sharding.reshard(d, 3, 3)
+    moves = sharding.rewrite_affected(d, str(tmp_path / "m"), 3, 3)
+    files = sharding.read_shards(d, str(tmp_path / "m"))
+    assert {r.shard for r in files.select("shard").distinct().collect()} == {0, 1} and {(r.old_shard, r.shard) for r in moves.collect()} == {(0, 0), (0, 1), (1, 1), (2, 2)}
+    assert files.select("doc_id", "shard", "slot").exceptAll(plan.select("doc_id", "shard", "slot")).count() == 0 and files.count() == plan.filter("shard < 2").count()
 
 
 def test_reshard_rows_without_distinct_ids(spark, tmp_path):
@@ -477,9 +488,10 @@ def test_reshard_rows_without_distinct_ids(spark, tmp_path):
     assert len(got) == len(rows) and all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert max(bytes_by.values()) - min(bytes_by.values()) < 0.05 * sum(bytes_by.values()) / 8
     assert max(Counter((r.old_shard, r.block) for r in got).values()) < 20
-    sharding.rewrite_affected(docs, plan, str(tmp_path / "m"))
-    key = lambda r: (r.doc_id, len(r.text) + 1, zlib.crc32(r.text.encode()), r.shard)
-    assert Counter(map(key, spark.read.parquet(str(tmp_path / "m")).collect())) == Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in got if r.shard != r.old_shard)
+    sharding.rewrite_affected(docs, str(tmp_path / "m"))
+    files = sharding.read_shards(docs, str(tmp_path / "m")).collect()
+    key = lambda r: (r.doc_id, len(r.text) + 1, zlib.crc32(r.text.encode()), r.shard, r.slot)
+    assert sorted(map(key, files), key=str) == sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=str)
 
 
 # --- 9 ---------------------------------------------------------------------------------------------------------------
