@@ -44,7 +44,7 @@ from dialmill.runtime import bound_batches, fits_broadcast, stash, tidy
 WORDS, RECALL, LEAST_SET = 5, 0.9995, 4
 #: Tries, their depth and the levels at which they may be cut; the trees of the first lot; a leaf's most members.
 TREES, DEPTH, LEVELS, FIRST_LOT, LEAF = 28, 6, (2, 4, 6), 10, 8
-#: A node with more than this share of a lot's rows is hot: there are at most HOT of them, so they can be broadcast.
+#: A node with more than one in HOT of a lot's rows is hot: there are fewer than HOT such nodes, so a filter can name them.
 HOT = 1000
 DEEP_TREES, DEEP = 8, 10
 #: One mixed bit of each of SKETCH_BITS MinHash values; two sets of similarity s agree in (1 + s) / 2 of them.
@@ -190,12 +190,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def cut(rows: DataFrame, most: int) -> DataFrame:
     """rows (rid, node, and more) of nodes with two members or more, with n, their number.
 
-    Rows of hot nodes, with more than ``most`` members, meet their counts by a broadcast of at most HOT nodes; the rest
-    meet them by the node.
+    Rows of hot nodes, with more than ``most`` members and HOT at most by its choice, get a number above ``most`` by a
+    filter; the rest meet their counts by the node.
     """
     counts = stash(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "forest-counts")
-    hot = F.broadcast(counts.filter(F.col("n") > most))
-    return rows.join(hot, "node").unionByName(rows.join(hot.select("node"), "node", "left_anti").join(counts.filter(F.col("n") <= most), "node"))
+    hot = [r.node for r in counts.filter(F.col("n") > most).select("node").collect()]  # HOT rows at most
+    shared = rows.filter(~F.col("node").isin(*hot)).join(counts.filter(F.col("n") <= most), "node")
+    return rows.filter(F.col("node").isin(*hot)).withColumn("n", F.lit(most + 1).cast("long")).unionByName(shared) if hot else shared
 
 
 def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -348,7 +349,9 @@ def mixed_members(nodes: DataFrame, cluster: DataFrame) -> DataFrame:
     met = nodes.join(cluster, "rid", "left").select("node", "rid", F.coalesce("cluster", "rid").alias("cluster"))
     own = met.groupBy("node", "cluster").agg(F.count(F.lit(1)).alias("k"), F.min("rid").alias("head"))
     main = own.groupBy("node").agg(F.max(F.struct("k", "cluster", "head")).alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("all"))
-    return met.join(main.filter("kinds > 1").select("node", F.col("m.cluster").alias("main"), F.col("m.head").alias("head"), F.ceil(F.col("all") / NODE_ROWS).alias("blocks")), "node")
+    several = main.filter("kinds > 1").select("node", F.col("m.cluster").alias("main"), F.col("m.head").alias("head"), F.ceil(F.col("all") / NODE_ROWS).alias("blocks"))
+    several = stash(several, "forest-several")
+    return met.join(F.broadcast(several) if fits_broadcast(several) else several, "node")
 
 
 def adopted(nodes: DataFrame, cluster: DataFrame, reps: DataFrame) -> DataFrame:
