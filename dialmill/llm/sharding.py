@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from dialmill.llm.text import numbered
 from dialmill.runtime import stash, without
 
-MAX_BLOCKS, FILE_BYTES = 32_768, 128 << 20
+MAX_BLOCKS, FILE_BYTES = 32_768, 32 << 20
 OWN = ["size", "text_crc32", "old_shard", "block", "shard", "slot"]
 
 
