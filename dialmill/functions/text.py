@@ -106,10 +106,53 @@ CALL_TYPE = "struct<name:string, arguments:map<string,string>, parameters:map<st
 
 
 def parse_call(json: Column) -> Column:
-    """valid, name and args of a call's JSON; empty ``arguments`` fall through to ``parameters``."""
+    """valid, name, args and own of a call's JSON: empty ``arguments`` fall through to ``parameters`` in args, not in own."""
     got = F.from_json(json, CALL_TYPE)
     args = F.when(F.size(got["arguments"]) > 0, got["arguments"]).otherwise(F.coalesce(got["parameters"], F.create_map().cast("map<string,string>")))
-    return F.struct(F.try_parse_json(json).isNotNull().alias("valid"), F.coalesce(got["name"], F.lit("")).alias("name"), args.alias("args"))
+    return F.struct(F.try_parse_json(json).isNotNull().alias("valid"), F.coalesce(got["name"], F.lit("")).alias("name"), args.alias("args"), F.coalesce(got["arguments"], F.create_map().cast("map<string,string>")).alias("own"))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A template with {name} replaced by the values."""
+    return fill_any(F.lit(template), **values)
+
+
+def fill_any(template: Column, **values: Column) -> Column:
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), text_or_empty(value))
+    return out
+
+
+def coverage_text(ok: Column, total: Column) -> Column:
+    """Covered of all, as k/n."""
+    return F.concat_ws("/", ok.cast("string"), total.cast("string"))
+
+
+def pick_from(options: Column, *key: Column | str) -> Column:
+    """As ``pick``, from an array that isn't empty."""
+    n = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.lit(k) if isinstance(k, str) else k.cast("string") for k in key]).cast("binary")), 1, 7), 16, 10).cast("long")
+    return F.element_at(options, (n % F.size(options) + 1).cast("int"))
+
+
+def label(name: Column, names: dict[str, str], default: Column) -> Column:
+    """The label of a name, or the default."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), name), default)
+
+
+def rotated(options: Sequence[str], variant: Column) -> Column:
+    """The options in turn."""
+    return F.element_at(F.array(*map(F.lit, options)), (variant % len(options) + 1).cast("int"))
+
+
+def json_object(c: Column) -> Column:
+    """From the first { to the last } of a reply, null where there is none."""
+    return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def call_text(name: Column, args: Column) -> Column:
+    """The tagged text of a call with compact arguments."""
+    return F.concat(F.lit('<tool_call>\n{"name": "'), name, F.lit('", "arguments": '), F.to_json(args), F.lit("}\n</tool_call>"))
 
 
 def unsourced(args: Column, known: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialmill.operators.metrics import require
 from dialmill.operators.score import DIMS
 
 
@@ -77,6 +78,46 @@ def compare_dimensions(both: DataFrame) -> DataFrame:
     return one.withColumn("delta", F.col("candidate") - F.col("baseline")).withColumn("change", change(F.col("delta"), 0.05))
 
 
+def rejoin(items: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Stored results with their seeds' columns, so that an arena reruns without scoring (R5, J13); an unknown seed raises."""
+    s = seeds.withColumnRenamed("seed_id", "__seed")
+    out = items.join(s, items["seed_id"] == s["__seed"], "left")
+    return require(out, F.col("__seed").isNotNull(), "a stored result has no seed").drop("__seed")
+
+
+#: A category or the total has moved from this difference of means on; dimensions may lose as much as BASE_LOSS.
+MOVED, BASE_LOSS = 0.25, 0.3
+
+
+def compare_categories(both: DataFrame) -> DataFrame:
+    """Per category both means, their difference and its class, bad cases of both, wins, losses and ties."""
+    won = lambda v: F.count_if(F.col("verdict") == v)
+    out = both.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"), F.avg("c_total").alias("candidate"), F.avg("b_total").alias("baseline"), F.count_if("c_bad").alias("bad_candidate"), F.count_if("b_bad").alias("bad_baseline"), won("candidate").alias("wins"), won("baseline").alias("losses"), won("tie").alias("ties"))
+    delta = F.col("candidate") - F.col("baseline")
+    return out.withColumn("delta", delta).withColumn("change", F.when(F.round(delta, 6) >= MOVED, "improved").when(F.round(delta, 6) <= -MOVED, "degraded").otherwise("flat"))
+
+
+def cards(both: DataFrame) -> DataFrame:
+    """One row of headline figures: means, bad cases, win rate, rating gap, movements."""
+    n, w, t = F.count(F.lit(1)), F.count_if(F.col("verdict") == "candidate"), F.count_if(F.col("verdict") == "tie")
+    c, b = F.avg("c_total"), F.avg("b_total")
+    return both.agg(c.alias("mean_candidate"), b.alias("mean_baseline"), F.count_if("c_bad").alias("bad_candidate"), F.count_if("b_bad").alias("bad_baseline"), (c - b).alias("delta"), F.round(100 * w / n, 1).alias("win_rate"), elo(w, t, n).alias("elo"), F.count_if(F.col("gap") >= 2).alias("up"), F.count_if(F.col("gap") <= -2).alias("down"))
+
+
+def conclusion(both: DataFrame) -> DataFrame:
+    """One row: whether base skills are kept, whether rules are followed better, and the outcome of both."""
+    moved = compare_categories(both).agg(F.count_if(F.col("change") == "improved").alias("improved"), F.count_if(F.col("change") == "degraded").alias("degraded"))
+    lost = lambda d: F.avg(f"c_{d}") - F.avg(f"b_{d}")
+    one = both.agg(
+        lost("total").alias("d"), lost("understanding").alias("u"), lost("completeness").alias("p"), F.round(100 * F.count_if(F.col("verdict") == "candidate") / F.count(F.lit(1)), 1).alias("win"),
+        *[F.count_if(F.col(f"{s}_fabrication") < 2).alias(f"{s}_made_up") for s in "cb"], *[F.count_if(F.col(f"{s}_prohibited") == 0).alias(f"{s}_broken") for s in "cb"],
+    )
+    base = (F.col("d") > -MOVED) & (F.col("u") >= -BASE_LOSS) & (F.col("p") >= -BASE_LOSS) & (F.col("degraded") <= F.col("improved"))
+    rules = (F.col("win") >= 50) & (F.col("c_made_up") <= F.col("b_made_up")) & (F.col("c_broken") <= F.col("b_broken"))
+    out = one.withColumn("__k", F.lit(1)).join(moved.withColumn("__k", F.lit(1)), "__k").select(base.alias("base_kept"), rules.alias("rules_kept"))
+    return out.withColumn("conclusion", F.when(F.col("base_kept") & F.col("rules_kept"), "yes").when(F.col("rules_kept"), "rules only").when(F.col("base_kept"), "base only").otherwise("no"))
+
+
 def final_verdict(both: DataFrame) -> DataFrame:
     """One row: whether the candidate's mean isn't lower and its bad cases aren't more, and the outcome of both."""
     one = both.agg(F.avg("c_total").alias("mean_candidate"), F.avg("b_total").alias("mean_baseline"), F.count_if("c_bad").alias("bad_candidate"), F.count_if("b_bad").alias("bad_baseline"))

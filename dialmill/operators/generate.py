@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialmill.functions import phrases as T
 from dialmill.functions import rules as R
 from dialmill.functions import text as X
+from dialmill.operators import pairs as P
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,8 @@ class Phrases:
     requests: tuple[str, ...] = (" What should be done?", " Please advise.")
     waits: tuple[str, ...] = (" The result will follow as soon as it is there.", " No result is known yet, it will be passed on.")
     #: (keywords, replies): the first rule with a keyword in the question answers it.
-    replies: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = ((("when", "date", "time"), ("About a week ago.",)), (("where", "place", "city"), ("In the city, the location can be sent.",)), (("model", "type"), ("It is last year's model.",)))
-    generic: tuple[str, ...] = ("It is as described.", "Noted, the details will follow.", "That is right.")
+    replies: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = tuple((words, tuple(x.replace("{work_order}", "WO2600000000") for x in said)) for words, said in T.REPLIES)
+    generic: tuple[str, ...] = T.REPLIES_GENERIC
 
 
 DEFAULT = Phrases()
@@ -80,28 +82,44 @@ def single_reply(p: Phrases) -> Column:
 
 
 def arguments(required: Column) -> Column:
-    """Placeholder values for required arguments, by name (X31): identifiers get digits, the rest the subcategory."""
-    value = lambda n: F.when(n.endswith("_id"), F.concat(F.upper(F.left(n, F.lit(2))), X.digits(8, F.col("seed_id"), n))).when(n.contains("date"), "2026-01-15").when(n.isin("consent", "approved"), "true").otherwise(F.coalesce(F.col("subcategory"), F.lit("service")))
+    """Placeholder values for required arguments, by name (X30, X31): digits behind a prefix, fixed texts, or the subcategory."""
+    subject = F.coalesce(F.nullif(F.col("subcategory"), F.lit("")), F.lit(T.SUBJECT_DEFAULT))
+
+    def value(n: Column) -> Column:
+        key = (F.col("seed_id"), n)
+        number = F.conv(F.substring(F.md5(F.concat_ws("|", *key).cast("binary")), 1, 12), 16, 10).cast("long")
+        out = F.when((n == "preferred_date") & X.contains_any(F.col("scenario"), T.SOON), X.pick(T.DATES_SOON, *key)).when(n == "preferred_date", X.pick(T.DATES, *key))
+        for name, (prefix, size) in T.ARGUMENT_DIGITS.items():
+            out = out.when(n == name, F.concat(F.lit(prefix), X.digits(size, *key)))
+        for name, (prefix, a, b) in T.ARGUMENT_RANGES.items():
+            out = out.when(n == name, F.concat(F.lit(prefix), (number % (b - a + 1) + a).cast("string")))
+        for name, text in T.ARGUMENT_TEXTS.items():
+            out = out.when(n == name, F.lit(text))
+        out = out.when(n == "issue_summary", F.left(X.clean_scenario(F.col("scenario")), F.lit(40))).when(n == "followup_note", F.left(F.coalesce("user_goal", F.lit(T.GOAL_DEFAULT)), F.lit(40)))
+        return out.when(n.isin(*T.ARGUMENT_TRUE), "true").otherwise(subject)
+
     return F.map_from_entries(F.transform(F.coalesce(required, X.empty()), lambda n: F.struct(n.alias("key"), value(n).alias("value"))))
 
 
-def known_arguments(required: Column, free_text: tuple[str, ...] = ("description", "issue_summary", "question", "reason")) -> tuple[Column, Column]:
-    """Arguments filled from the customer's goal (free-text names only), and the names still to be asked for."""
-    free = F.filter(required, lambda n: n.isin(*free_text))
-    return F.map_from_entries(F.transform(free, lambda n: F.struct(n.alias("key"), F.col("user_goal").alias("value")))), F.filter(required, lambda n: ~n.isin(*free_text))
+def reply_to(question: Column, p: Phrases = DEFAULT, last: Column | None = None) -> Column:
+    """The caller's answer to a question: the first rule with a keyword in it, else a generic one; not the last one again."""
+    q = X.text_or_empty(question)
 
+    def one(options: tuple[str, ...]) -> Column:
+        if len(options) == 1:
+            return F.lit(options[0])
+        every = F.array(*map(F.lit, options))
+        return X.pick_from(every if last is None else F.filter(every, lambda g: ~g.eqNullSafe(last)), q)
 
-def reply_to(question: Column, p: Phrases = DEFAULT, last: Column | None = None) -> Column:
-    """The caller's answer to a question: the first rule with a keyword in it, else a generic one other than last."""
-    out = None
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
     for words, said in p.replies:
-        test, value = X.contains_any(question, words), X.pick(said, F.coalesce(question, F.lit("")))
-        out = F.when(test, value) if out is None else out.when(test, value)
-    plain = X.pick(p.generic, F.coalesce(question, F.lit("")))
-    if last is not None:
-        others = F.filter(F.array(*map(F.lit, p.generic)), lambda g: ~g.eqNullSafe(last))
-        plain = F.when(plain.eqNullSafe(last), F.get(others, F.lit(0))).otherwise(plain)
-    return plain if out is None else out.otherwise(plain)
+        out = out.when(X.contains_any(q, words), one(said))
+    return out.otherwise(one(p.generic))
+
+
+def question() -> Column:
+    """The question put to a model: the scenario and the goal."""
+    return X.fill(T.QUESTION_2, sc=F.col("scenario"), goal=F.col("user_goal"))
 
 
 def message(role: str, content: Column) -> Column:
@@ -140,7 +158,8 @@ def records(seeds: DataFrame, tools: DataFrame, p: Phrases = DEFAULT, kinds: tup
     if "multi_turn" not in kinds:
         out = out.filter((F.col("variant") == 0) | (F.col("sample_type") == "tool_call"))
     args = arguments(F.col("__required"))
-    told = F.concat_ws("", F.transform(F.map_entries(args), lambda e: F.concat(F.lit(" "), e["key"], F.lit(": "), e["value"], F.lit("."))))
+    given = lambda name, before: F.when(F.map_contains_key(args, F.lit(name)), F.concat(F.lit(before), F.element_at(args, F.lit(name)), F.lit("，")))
+    told = F.coalesce(given("vehicle_id", "我的车架号（VIN）是"), given("work_order_id", "我的工单号是"), given("city", "我在"), F.lit(""))
     call = F.concat(empathy(p), sentence(F.coalesce(F.col("required_facts"), X.empty()), _pick(p.facts, "f")), X.call_block(F.col("tool_name"), args), _pick(p.waits, "w"), question_sentence(F.coalesce(F.col("required_questions"), X.empty()), p), sentence(F.coalesce(F.col("required_actions"), X.empty()), _pick(p.actions, "a")), _pick(p.closings, "c"))
     is_call = F.col("sample_type") == "tool_call"
     pair = lambda user, reply: F.array(message("user", user), message("assistant", reply))
@@ -149,10 +168,25 @@ def records(seeds: DataFrame, tools: DataFrame, p: Phrases = DEFAULT, kinds: tup
     return out.withColumn("messages", m).withColumn("tool_call", made).select("seed_id", "split", "category_id", "category", "subcategory", "scenario", "sample_type", "variant", "tool_name", "messages", "tool_call")
 
 
-def supplement(seeds: DataFrame, p: Phrases = DEFAULT) -> DataFrame:
-    """Seeds times three styles, only the first two or three items of each list used."""
-    cut = lambda n, k: F.slice(F.coalesce(F.col(f"required_{n}"), X.empty()), 1, k)
+def supplement(seeds: DataFrame) -> DataFrame:
+    """Seeds (with ``properties`` of their tools) times three styles, only the first two or three items of each list used."""
+    def cut(lead: str, name: str, k: int, mark: str | None) -> Column:
+        items = F.slice(F.coalesce(F.col(f"required_{name}"), X.empty()), 1, k)
+        each = F.transform(items, lambda x, i: F.concat(F.lit(mark) if mark else F.concat((i + 1).cast("string"), F.lit(". ")), x))
+        return F.when(F.size(items) > 0, F.concat(F.lit(lead), F.array_join(each, "；"), F.lit("。"))).otherwise("")
+
+    def opener(v: int) -> Column:
+        texts = T.SUPPLEMENT_OPEN[v]
+        cat, sc = F.col("category_id"), F.col("scenario")
+        return F.when(cat == 3, X.fill(texts[0], sc=sc)).when(cat == 6, X.fill(texts[1], sc=sc)).otherwise(X.fill_any(X.pick(texts[2:], F.col("seed_id"), str(v), "s"), sc=sc))
+
+    call = F.when(P.parts()["calls"], F.concat(F.lit(T.SUPPLEMENT_CALL[0]), X.call_text(F.col("tool_name"), P.known_arguments()[0]), F.lit(T.SUPPLEMENT_CALL[1]))).otherwise("")
+    tail = lambda v: F.when(F.col("category_id").isin(3, 6), T.TAIL_SAFE).otherwise(T.SUPPLEMENT_CLOSE[v])
+    facts, questions, actions = T.SUPPLEMENT_FACTS, T.SUPPLEMENT_QUESTIONS, T.SUPPLEMENT_ACTIONS
+    replies = (
+        F.concat(opener(0), cut(facts[0], "facts", 3, "①"), call, cut(questions[0], "questions", 3, "①"), cut(actions[0], "actions", 2, "①"), tail(0)),
+        F.concat(opener(1), cut(facts[1], "facts", 3, "• "), call, cut(questions[1], "questions", 3, "• "), cut(actions[1], "actions", 3, None), tail(1)),
+        F.concat(opener(2), cut(actions[2], "actions", 2, "①"), call, cut(facts[2], "facts", 3, "• "), cut(questions[2], "questions", 2, "• "), tail(2)),
+    )
     out = seeds.withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    f, q, a = sentence(cut("facts", 3), _pick(p.facts, "f")), sentence(cut("questions", 2), _pick(p.questions, "q")), sentence(cut("actions", 2), _pick(p.actions, "a"))
-    reply = F.when(F.col("variant") == 0, F.concat(empathy(p), f, q, a)).when(F.col("variant") == 1, F.concat(q, f, a)).otherwise(F.concat(f, a, q))
-    return out.withColumn("answer", F.concat(reply, _pick(p.closings, "c")))
+    return out.withColumn("answer", F.when(F.col("variant") == 0, replies[0]).when(F.col("variant") == 1, replies[1]).otherwise(replies[2]))

@@ -72,6 +72,11 @@ def pair_stats(pairs: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def pairs_by_category(pairs: DataFrame) -> DataFrame:
+    """Pairs of each category, those of the safety class among them, and the mean length of the chosen text."""
+    return pairs.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("defect") == "safety").alias("n_safety"), F.avg("len_chosen").alias("len_chosen_avg"))
+
+
 def capped_shares(candidates: DataFrame, by: str, cap: int) -> DataFrame:
     """Per class the candidates, min(candidates, cap), and its share of the capped total."""
     n = candidates.groupBy(by).agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.least("n", F.lit(cap).cast("long")))
@@ -81,7 +86,29 @@ def capped_shares(candidates: DataFrame, by: str, cap: int) -> DataFrame:
 def reasons(rows: DataFrame, column: str) -> DataFrame:
     """Counts of the codes in an array or plain column, the most frequent first (A4)."""
     c = F.explode(column) if dict(rows.dtypes)[column].startswith("array") else F.col(column)
-    return rows.select(c.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(c.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def pass_fail(rows: DataFrame, *by: str) -> DataFrame:
+    """Records without and with errors (A5)."""
+    ok = F.size("errors") == 0
+    return rows.groupBy(*by).agg(F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
+
+
+def zero_counts(scored: DataFrame, *by: str) -> DataFrame:
+    """Rows that lost a dimension, as rows (A17); fabrication counts from its first lost point."""
+    one = scored.groupBy(*by).agg(*[F.count_if(F.col(d) < 2 if d == "fabrication" else F.col(d) == 0).alias(d) for d in DIMS])
+    return one.unpivot(list(by), list(DIMS), "dimension", "n")
+
+
+def mean(c: str) -> Column:
+    """The mean, 0 for no row."""
+    return F.coalesce(F.avg(c), F.lit(0.0))
+
+
+def categories(seeds: DataFrame) -> DataFrame:
+    """The distinct categories, in order."""
+    return seeds.select("category_id", "category").distinct().orderBy("category_id")
 
 
 def require(df: DataFrame, test: Column, message: str) -> DataFrame:

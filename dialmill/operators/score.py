@@ -77,6 +77,15 @@ def score(rows: DataFrame, tools: list[str] | None = None, rules: R.Rules = R.DE
     return out.select(*[c for c in out.columns if c not in new], F.inline(F.array(F.struct(*new))))
 
 
+def parsed_replies(replies: DataFrame, column: str) -> DataFrame:
+    """replies with the seven dimensions of the JSON object in a judge's reply; all null unless each is a number."""
+    got = F.from_json(X.json_object(F.col(column)), ", ".join(f"{d} string" for d in DIMS))
+    out = replies.withColumn("__r", got)
+    number = {d: F.col(f"__r.{d}").try_cast("int") for d in DIMS}
+    whole = sum((n.isNull().cast("int") for n in number.values()), F.lit(0)) == 0
+    return out.withColumns({d: F.when(whole, n) for d, n in number.items()}).drop("__r")
+
+
 def with_judge(scored: DataFrame, judged: DataFrame, key: str = "seed_id") -> DataFrame:
     """Scores overridden by a judge's where it gave all seven dimensions; total follows; ``judged`` says which."""
     j = judged.select(F.col(key).alias("__k"), *[F.col(d).cast("int").alias(f"__{d}") for d in DIMS])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dialmill.functions import rules as R
 from dialmill.functions import text as X
+from dialmill.runtime import fits_broadcast, stash
 
 
 def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -45,19 +46,19 @@ def structure_errors(messages: Column, rules: R.Rules = R.DEFAULT, roles: tuple[
 
 def content_errors(messages: Column, is_tool: Column, tool_name: Column, required: Column) -> Column:
     """Codes of V11 to V19 against the seed's columns; empty prohibited cores never fire."""
-    everything = X.normalize(text_of(messages))
+    everything = X.normalize(text_of(messages, "assistant"))
     missing = lambda code, items: F.transform(F.filter(F.coalesce(items, X.empty()), lambda x: ~F.contains(everything, X.normalize(x))), lambda x: F.lit(code))
     core = lambda x: X.normalize(X.strip_negation(x))
     broken = F.filter(F.coalesce(F.col("prohibited_actions"), X.empty()), lambda x: (core(x) != "") & F.contains(everything, core(x)))
-    calls = X.tool_calls(text_of(messages))
+    calls = X.tool_calls(F.array_join(F.transform(messages, lambda m: X.text_or_empty(m["content"])), ""))
     call = X.parse_call(F.get(calls, F.lit(0)))
-    tool = F.when(F.size(calls) == 0, F.array(F.lit("V15"))).when(~call["valid"], F.array(F.lit("V16"))).otherwise(
+    called = F.when(F.size(calls) == 0, F.array(F.lit("V15"))).when(~call["valid"], F.array(F.lit("V16"))).otherwise(
         F.concat(
             F.when(~call["name"].eqNullSafe(tool_name), F.array(F.lit("V17"))).otherwise(X.empty()),
-            F.transform(F.array_except(F.coalesce(required, X.empty()), F.map_keys(call["args"])), lambda x: F.lit("V18")),
-            F.transform(X.hits(text_of(messages, "assistant"), R.FABRICATION_PHRASES), lambda x: F.lit("V19")),
+            F.transform(F.array_except(F.coalesce(required, X.empty()), F.map_keys(call["own"])), lambda x: F.lit("V18")),
         )
     )
+    tool = F.concat(called, F.transform(X.hits(text_of(messages, "assistant"), R.FABRICATION_PHRASES), lambda x: F.lit("V19")))
     return F.concat(
         missing("V11", F.col("required_facts")), missing("V12", F.col("required_questions")), missing("V13", F.col("required_actions")),
         F.transform(broken, lambda x: F.lit("V14")), F.when(is_tool, tool).otherwise(X.empty()),
@@ -70,16 +71,18 @@ def validate(records: DataFrame, seeds: DataFrame, tools: DataFrame, rules: R.Ru
     t = tools.select(F.col("tool_name").alias("__tool"), F.col("required").alias("__required"))
     own = ["seed_split", "required_facts", "required_questions", "required_actions", "prohibited_actions", "seed_tool"]
     out = records.drop(*own).join(s, records["seed_id"] == s["__id"], "left").join(t, F.col("seed_tool") == F.col("__tool"), "left")
-    digest = F.sha2(F.to_json("messages"), 256)
-    rank = F.row_number().over(Window.partitionBy("__h").orderBy("ord"))
+    whole = F.col("__id").isNotNull() & (F.size("messages") >= 2)
+    out = out.withColumn("__h", F.when(whole, F.sha2(F.to_json("messages"), 256)))
+    # Digests that occur twice, with the first record of each: pre-aggregated, so a hot one is no window in one task.
+    first = stash(out.filter("__h IS NOT NULL").groupBy("__h").agg(F.min("ord").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__h", "__first"), "repeated")
+    out = out.join(F.broadcast(first) if fits_broadcast(first) else first, "__h", "left")
     structure = structure_errors(F.col("messages"), rules)
     content = content_errors(F.col("messages"), F.col("sample_type") == "tool_call", F.col("seed_tool"), F.col("__required"))
-    out = out.withColumn("__h", digest).withColumn("__n", rank)
     later = F.concat(
         F.when(F.col("seed_split") == "final_test", F.array(F.lit("V2"))).otherwise(X.empty()), structure,
-        F.when(F.size("messages") < 2, X.empty()).otherwise(F.concat(content, F.when(F.col("__n") > 1, F.array(F.lit("V20"))).otherwise(X.empty()))),
+        F.when(F.size("messages") < 2, X.empty()).otherwise(F.concat(content, F.when(F.col("ord") > F.col("__first"), F.array(F.lit("V20"))).otherwise(X.empty()))),
     )
-    return out.withColumn("errors", F.when(F.col("__id").isNull(), F.array(F.lit("V1"))).otherwise(later)).drop("__id", "__tool", "__required", "__h", "__n", *own)
+    return out.withColumn("errors", F.when(F.col("__id").isNull(), F.array(F.lit("V1"))).otherwise(later)).drop("__id", "__tool", "__required", "__h", "__first", *own)
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -6,24 +6,25 @@ defects (short answers, calls, claims, phrases) are put in by the remainder of t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialmill.functions import rules as R
 from dialmill.operators import score as S
-from dialmill.runtime import fits_broadcast, stash, table
+from dialmill.runtime import fits_broadcast, placed, stash, table
 
 TOOLS = [f"tool_{i}" for i in range(5)]
+PARAMS = ["vehicle_id", "issue_summary", "store_id", "description", "colour"]
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").withColumn("w", F.split(F.coalesce("text", F.lit("")), " "))
+    b = placed(table(spark, sf_dir, "benchmark"), [], ["item_id"]).withColumn("w", F.split(F.coalesce("text", F.lit("")), " "))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     i = F.col("item_id")
     cat = (i % 8 + 1).cast("int")
     need = (i % 3 == 0) & (cat != 3)
     return b.select(
-        (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("idx"), i.alias("item_id"), F.concat(F.lit("s"), i.cast("string")).alias("seed_id"),
+        F.col("__place").alias("idx"), i.alias("item_id"), F.concat(F.lit("s"), i.cast("string")).alias("seed_id"),
         F.when(i % 10 == 0, "final_test").when(i % 10 == 1, "validation").otherwise("train").alias("split"), cat.alias("category_id"), F.concat(F.lit("cat"), cat.cast("string")).alias("category"),
         F.concat(F.lit("sub"), (i % 3).cast("string")).alias("subcategory"), part(1, 12).alias("scenario"), part(3, 6).alias("user_goal"), F.when(i % 4 == 0, R.PROXY_ROLES[0]).otherwise("owner").alias("customer_role"),
         F.array(part(1, 8), part(9, 8)).alias("required_facts"), F.slice(F.array(part(2, 4), part(6, 4), part(10, 4)), F.lit(1), (i % 4).cast("int")).alias("required_questions"),
@@ -48,12 +49,21 @@ seeds AS (SELECT row_number() OVER (ORDER BY i) - 1 AS idx, i AS item_id, 's' ||
 
 
 def tools(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, ["topic", "when", "store_id"][: i % 3 + 1]) for i, t in enumerate(TOOLS)], "tool_name string, required array<string>")
+    return spark.createDataFrame([(t, ["topic", "when", "store_id"][: i % 3 + 1], PARAMS[i:] + PARAMS[: min(i, 2)]) for i, t in enumerate(TOOLS)], "tool_name string, required array<string>, properties array<string>")
+
+
+_LIST = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
+TOOLS_SQL = "tools(tool_name, required, properties) AS (VALUES " + ", ".join(f"('{t}', {_LIST(['topic', 'when', 'store_id'][: i % 3 + 1])}, {_LIST(PARAMS[i:] + PARAMS[: min(i, 2)])})" for i, t in enumerate(TOOLS)) + ")"
+
+
+#: A second call, to an unknown tool and with ``parameters``, behind every twelfth answer.
+SECOND_CALL = '<tool_call>{"name": "tool_9", "parameters": {"topic": "yy"}}</tool_call>'
 
 
 def call(doc_id: Column, first_word: Column) -> Column:
     value = F.when(doc_id % 3 == 0, first_word).otherwise(F.concat(F.lit("zz"), doc_id.cast("string")))
-    good = F.concat(F.lit('<tool_call>{"name": "tool_'), (doc_id % 7).cast("string"), F.lit('", "arguments": {"topic": "'), value, F.lit('", "when": "2026-01-0'), (doc_id % 9 + 1).cast("string"), F.lit('"}}</tool_call>'))
+    lead = F.when(doc_id % 14 == 0, '", "arguments": {}, "parameters": {"topic": "').otherwise('", "arguments": {"topic": "')
+    good = F.concat(F.lit('<tool_call>{"name": "tool_'), (doc_id % 7).cast("string"), lead, value, F.lit('", "when": "2026-01-0'), (doc_id % 9 + 1).cast("string"), F.lit('"}}</tool_call>'))
     return F.when(doc_id % 2 == 1, "").when(doc_id % 13 == 0, '<tool_call>{"name": oops}</tool_call>').otherwise(good)
 
 
@@ -80,6 +90,7 @@ def answers(spark: SparkSession, sf_dir: str, prepared: bool = True) -> DataFram
     full = F.concat(
         F.coalesce("text", F.lit("")), extra(i % 5 == 0, lists), extra(i % 11 == 0, F.get(F.col("prohibited_actions"), F.lit(0))), call(i, F.get(F.split("scenario", " "), F.lit(0))),
         extra(i % 6 == 0, F.lit("30天")), extra(i % 7 == 0, F.lit(R.SAFETY_WORDS[0])), extra(i % 4 == 0, F.lit(R.RESCUE_WORDS[1])), extra(i % 9 == 0, F.lit("查询到")), extra(i % 8 == 0, F.lit(R.FABRICATION_PHRASES[1])),
+        extra(i % 12 == 0, F.lit(SECOND_CALL)),
     )
     return out.withColumn("answer", F.when(i % 10 == 3, "ok").otherwise(full)).drop("text")
 
@@ -89,10 +100,11 @@ answers AS (SELECT d.doc_id, d.lang, s.*, CASE WHEN doc_id % 10 = 3 THEN 'ok' EL
   || CASE WHEN doc_id % 5 = 0 THEN ' ' || array_to_string(required_facts, ' ') || ' ' || array_to_string(required_questions, ' ') || ' ' || array_to_string(required_actions, ' ') ELSE '' END
   || CASE WHEN doc_id % 11 = 0 THEN ' ' || prohibited_actions[1] ELSE '' END
   || CASE WHEN doc_id % 2 = 1 THEN '' WHEN doc_id % 13 = 0 THEN '<tool_call>{"name": oops}</tool_call>' ELSE
-     '<tool_call>{"name": "tool_' || (doc_id % 7) || '", "arguments": {"topic": "' || CASE WHEN doc_id % 3 = 0 THEN string_split(scenario, ' ')[1] ELSE 'zz' || doc_id END
+     '<tool_call>{"name": "tool_' || (doc_id % 7) || CASE WHEN doc_id % 14 = 0 THEN '", "arguments": {}, "parameters": {"topic": "' ELSE '", "arguments": {"topic": "' END || CASE WHEN doc_id % 3 = 0 THEN string_split(scenario, ' ')[1] ELSE 'zz' || doc_id END
      || '", "when": "2026-01-0' || (doc_id % 9 + 1) || '"}}</tool_call>' END
   || CASE WHEN doc_id % 6 = 0 THEN ' 30天' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' 请勿继续行驶' ELSE '' END
-  || CASE WHEN doc_id % 4 = 0 THEN ' 已为您安排' ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN ' 查询到' ELSE '' END || CASE WHEN doc_id % 8 = 0 THEN ' 查询结果显示' ELSE '' END END AS answer
+  || CASE WHEN doc_id % 4 = 0 THEN ' 已为您安排' ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN ' 查询到' ELSE '' END || CASE WHEN doc_id % 8 = 0 THEN ' 查询结果显示' ELSE '' END
+  || CASE WHEN doc_id % 12 = 0 THEN ' <tool_call>{"name": "tool_9", "parameters": {"topic": "yy"}}</tool_call>' ELSE '' END END AS answer
   FROM documents d JOIN seeds s ON d.doc_id % greatest(1, (SELECT count(*) FROM benchmark)) = s.idx)
 """
 
@@ -107,10 +119,12 @@ def covered_sql(p: str, a: str, ratio: float) -> str:
     return f"(contains({a}, {p}.s) OR len(list_filter({p}.windows, lambda y: contains({a}, y))) > 0 OR len({p}.pairs) = 0 OR len(list_filter({p}.pairs, lambda y: contains({a}, y)))::DOUBLE / len({p}.pairs) >= {ratio})"
 
 
+#: Empty arguments fall through to parameters.
+ARGS_SQL = "CASE WHEN len(coalesce(json_keys({0}, '$.arguments'), [])) > 0 THEN json_extract_string({0}, '$.arguments.*') ELSE json_extract_string({0}, '$.parameters.*') END"
 _LEVEL = "CASE WHEN {0} = {1} THEN 2 WHEN {0} >= greatest(1, ({1} + 1) // 2) THEN 1 ELSE 0 END"
 _ANY = lambda words: "(" + " OR ".join(f"contains(a, '{w}')" for w in words) + ")"
 
-SCORED_SQL = ANSWERS_SQL + f""",
+SCORE_SQL = f""",
 prep AS (SELECT *, regexp_replace(regexp_replace(answer, '^\\s+', ''), '\\s+$', '') AS a, {PHRASE_SQL.format('required_facts')} AS fp, {PHRASE_SQL.format('required_questions')} AS qp,
   {PHRASE_SQL.format('required_actions')} AS ap, {PHRASE_SQL.format('prohibited_actions')} AS pp, {PHRASE_SQL.format('[scenario]')}[1].pairs AS sp,
   array_to_string(required_facts, '') || array_to_string(required_actions, '') || array_to_string(required_questions, '') AS source_text FROM answers),
@@ -121,7 +135,7 @@ m AS (SELECT *, regexp_extract_all(a, '{R.TOOL_CALL}', 1) AS calls,
   list_filter(regexp_extract_all(a, '{R.NUMBER_CLAIM}'), lambda n: NOT contains(source_text, trim(n))) AS claims FROM prep),
 c AS (SELECT *, len(calls) > 0 AS has_call, coalesce(len(calls) > 0 AND json_valid(calls[1]), false) AS valid,
   CASE WHEN len(calls) > 0 AND json_valid(calls[1]) THEN coalesce(json_extract_string(calls[1], '$.name'), '') ELSE '' END AS call_name,
-  CASE WHEN len(calls) > 0 AND json_valid(calls[1]) THEN list_filter(json_extract_string(calls[1], '$.arguments.*'), lambda v: v <> '' AND NOT contains(scenario || user_goal, v) AND NOT regexp_full_match(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}')) ELSE [] END AS invented,
+  CASE WHEN len(calls) > 0 AND json_valid(calls[1]) THEN list_filter({ARGS_SQL.format('calls[1]')}, lambda v: v <> '' AND NOT contains(scenario || user_goal, v) AND NOT regexp_full_match(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}')) ELSE [] END AS invented,
   regexp_matches(a, '{R.RESULT_CLAIM}') AS claimed, (length(a) < 80 AND NOT contains(a, '①') AND NOT contains(a, '<tool_call>')) AS half_answer,
   len(list_filter(regexp_split_to_array(a, '{R.SENTENCE_END}'), lambda s: regexp_matches(s, '\\S')))::INT AS n_sentences FROM m),
 f AS (SELECT *, (tool_required AND has_call AND (NOT valid OR call_name NOT IN ({', '.join(f"'{t}'" for t in TOOLS)}) OR len(invented) > 0)) AS bad_call, (NOT tool_required AND has_call) AS needless_call FROM c),
@@ -131,11 +145,12 @@ s7 AS (SELECT *, CASE WHEN a <> '' AND topic >= 0.12 THEN 2 WHEN a <> '' THEN 1
   CASE WHEN bad_call OR needless_call OR (claimed AND NOT has_call) THEN 0 WHEN len(claims) > 0 OR (tool_required AND NOT has_call) THEN 1 ELSE 2 END AS fabrication,
   CASE WHEN category_id = 3 THEN NOT {_ANY(R.SAFETY_WORDS)} END AS safety_missing, CASE WHEN category_id = 6 THEN NOT {_ANY(R.RESCUE_WORDS)} END AS rescue_missing,
   CASE WHEN tool_required THEN NOT has_call END AS call_missing FROM f),
-scored AS (SELECT *, understanding + facts + questions + actions + prohibited + completeness + fabrication AS total, length(a) AS len,
+scored AS MATERIALIZED (SELECT *, understanding + facts + questions + actions + prohibited + completeness + fabrication AS total, length(a) AS len,
   (understanding + facts + questions + actions + prohibited + completeness + fabrication <= 10 OR least(facts, questions, actions, prohibited, completeness, fabrication) = 0) AS bad,
   CASE WHEN category_id IN (3, 6) AND (coalesce(safety_missing, false) OR coalesce(rescue_missing, false)) THEN 'safety' WHEN bad_call THEN 'fabrication'
        WHEN coalesce(call_missing, false) OR needless_call THEN 'tool' WHEN half_answer OR completeness <= 1 THEN 'completeness' END AS defect FROM s7)
 """
+SCORED_SQL = ANSWERS_SQL + SCORE_SQL
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,26 +47,6 @@ def record_projection(spark, sf_dir):
     return G.records(D.seeds(spark, sf_dir), D.tools(spark)).select("seed_id", "variant", "sample_type", F.size("messages").alias("n_messages"), F.col("tool_call.name").alias("called"))
 
 
-@query(None)
-def multi_turn_build(spark, sf_dir):
-    r = G.records(D.seeds(spark, sf_dir), D.tools(spark), kinds=("multi_turn",))
-    return r.select("seed_id", F.posexplode("messages").alias("turn", "m")).select("seed_id", "turn", "m.role", "m.content")
-
-
-@query(None)
-def supplement_scores(spark, sf_dir):
-    """Supplement answers of three styles whose rule score reaches 10."""
-    from dialmill.operators import score as S
-
-    s = S.score(S.prepared(G.supplement(D.seeds(spark, sf_dir))), D.TOOLS)
-    return s.filter("total >= 10").select("seed_id", "variant", "total", F.length("answer").alias("len"))
-
-
-@query(f"WITH {D.SEEDS_SQL} SELECT seed_id, CASE WHEN starts_with(c, '询问') THEN '想问一下，' || substr(c, 3) ELSE c END AS situation FROM (SELECT seed_id, CASE WHEN starts_with(scenario, '客户') THEN substr(scenario, 3) ELSE scenario END AS c FROM (SELECT seed_id, trim(scenario, ' ' || chr(10)) AS scenario FROM seeds))")
-def question_projection(spark, sf_dir):
-    return D.seeds(spark, sf_dir).select("seed_id", X.situation(F.col("scenario"), F.col("customer_role")).alias("situation"))
-
-
 @query(f"WITH {D.SEEDS_SQL} SELECT seed_id, len(CASE WHEN item_id % 2 = 0 THEN required_facts WHEN item_id % 3 = 0 THEN required_actions ELSE [] END)::INT AS n_facts, (item_id % 5 = 0 AND tool_required) AS tool_required FROM seeds")
 def rule_alias_defaults(spark, sf_dir):
     i = F.col("item_id")
@@ -175,15 +155,6 @@ def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalize(X.strip_negation(t)).cast("binary")).alias("digest"))
 
 
-_REPLY = " ".join(f"WHEN {' OR '.join(f'contains(text, {w!r})' for w in words)} THEN {said[0]!r}" for words, said in [((k), [s.replace(chr(39), chr(39) * 2) for s in v]) for k, v in G.DEFAULT.replies]).replace('"', "'")
-
-
-@query(f"SELECT conv_id, turn, CASE {_REPLY} ELSE 'generic' END AS reply FROM conversations")
-def reply_rules_first_match(spark, sf_dir):
-    reply = G.reply_to(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(reply.isin(*G.DEFAULT.generic), "generic").otherwise(reply).alias("reply"))
-
-
 # --- resume and cache -----------------------------------------------------------------------------------------------
 
 

@@ -111,7 +111,7 @@ SELECT doc_id, name, array_to_string(list_filter(required, lambda x: NOT list_co
 def tool_call_missing_args(spark, sf_dir):
     c = D.answers(spark, sf_dir, prepared=False).select("doc_id", X.parse_call(F.get(X.tool_calls(F.col("answer")), F.lit(0))).alias("c")).filter("c.valid")
     t = D.tools(spark)  # a registry of as many rows as there are tools
-    return c.join(F.broadcast(t), F.col("c.name") == t["tool_name"]).select("doc_id", F.col("c.name").alias("name"), F.array_join(F.array_except("required", F.map_keys("c.args")), ",").alias("missing"))
+    return c.join(F.broadcast(t), F.col("c.name") == t["tool_name"]).select("doc_id", F.col("c.name").alias("name"), F.array_join(F.array_except("required", F.map_keys("c.own")), ",").alias("missing"))
 
 
 def _hits(words) -> str:
@@ -134,7 +134,7 @@ q AS (SELECT *, regexp_extract_all(answer, '{R.TOOL_CALL}', 1) AS calls FROM ans
 g AS (SELECT *, CASE WHEN tool_required AND len(calls) = 0 THEN ['call_missing'] ELSE [] END
  || CASE WHEN tool_required THEN flatten(list_transform(calls, lambda j: CASE WHEN NOT json_valid(j) THEN ['bad_json'] ELSE
       CASE WHEN coalesce(json_extract_string(j, '$.name'), '') NOT IN ({_TOOLS}) THEN ['unknown_tool'] ELSE [] END
-      || list_transform(list_filter(json_extract_string(CASE WHEN json_valid(j) THEN j ELSE '{{}}' END, '$.arguments.*'), lambda v: v <> '' AND NOT contains(scenario || user_goal, v) AND NOT regexp_full_match(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}')), lambda v: 'unsourced_argument') END))
+      || list_transform(list_filter({D.ARGS_SQL.format("(CASE WHEN json_valid(j) THEN j ELSE '{}' END)")}, lambda v: v <> '' AND NOT contains(scenario || user_goal, v) AND NOT regexp_full_match(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}')), lambda v: 'unsourced_argument') END))
     WHEN len(calls) > 0 THEN ['call_needless'] ELSE [] END
  || CASE WHEN category_id = 3 AND NOT {any_sql('answer', R.SAFETY_WORDS)} THEN ['safety_missing'] ELSE [] END
  || CASE WHEN category_id = 6 AND NOT {any_sql('answer', R.RESCUE_WORDS)} THEN ['rescue_missing'] ELSE [] END
@@ -147,10 +147,11 @@ def constraint_violations(spark, sf_dir):
     return D.answers(spark, sf_dir, prepared=False).select("doc_id", F.array_join(constrain.violations(F.col("answer"), D.TOOLS), ",").alias("violations"))
 
 
-#: The derived answers hold one call at most, so the oracle replaces that one.
+#: Every call is looked at by itself: the text between calls and the calls, kept or replaced, are put together again.
 REPAIR_SQL = GATE_SQL + f""",
-r1 AS (SELECT *, CASE WHEN NOT tool_required THEN regexp_replace(answer, '{R.TOOL_CALL}', '', 'g')
-  WHEN len(calls) > 0 AND (NOT json_valid(calls[1]) OR coalesce(json_extract_string(CASE WHEN json_valid(calls[1]) THEN calls[1] ELSE '{{}}' END, '$.name'), '') NOT IN ({_TOOLS})) THEN regexp_replace(answer, '{R.TOOL_CALL}', '{R.CALL_BLANK}') ELSE answer END AS a1 FROM g),
+r0 AS (SELECT *, regexp_split_to_array(answer, '{R.TOOL_CALL}') AS pieces, list_transform(list_zip(regexp_extract_all(answer, '{R.TOOL_CALL}', 0), calls), lambda z:
+  CASE WHEN NOT json_valid(z[2]) OR coalesce(json_extract_string(CASE WHEN json_valid(z[2]) THEN z[2] ELSE '{{}}' END, '$.name'), '') NOT IN ({_TOOLS}) THEN '{R.CALL_BLANK}' ELSE z[1] END) AS kept FROM g),
+r1 AS (SELECT *, CASE WHEN NOT tool_required THEN array_to_string(pieces, '') ELSE array_to_string(list_transform(pieces, lambda x, i: x || coalesce(kept[i], '')), '') END AS a1 FROM r0),
 r2 AS (SELECT *, CASE WHEN tool_required AND tool_name IS NOT NULL AND NOT regexp_matches(a1, '{R.TOOL_CALL}') THEN regexp_replace(a1, '。+$', '') || '{R.CALL_LEAD}' || '<tool_call>{{"name": "' || tool_name || '", "arguments": {{}}}}</tool_call>'
   || CASE WHEN {any_sql('a1', R.ASKS_ALREADY)} THEN '' ELSE '{R.CALL_ASK}' END || '{R.CALL_TAIL}' ELSE a1 END AS a2 FROM r1),
 r3 AS (SELECT *, CASE WHEN category_id = 3 AND NOT {any_sql('a2', R.SAFETY_WORDS)} THEN '{R.STOP_REPAIR.strip()}' || chr(10) || a2 ELSE a2 END AS a3 FROM r2)

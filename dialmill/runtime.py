@@ -8,9 +8,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and measured to stay within both bounds.
@@ -103,6 +104,27 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, salt_from: Column,
     return left.join(r, left[key].eqNullSafe(r["__key"]) & (left["__s"] == r["__salt"]), "left").drop("__key", "__s", "__salt")
 
 
+def placed(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
+    """df with ``__place``, from 0 in the given order within each class, and ``__size``, the class's rows.
+
+    Rows are sorted over all tasks by range, so no task holds a class: a place is the row's offset in its part plus the
+    rows of the class in the parts before. Only that table, of as many rows as parts and classes, meets a window.
+    """
+    keys = [f"__by{i}" for i in range(len(by))]
+    marked = df.withColumns({k: F.col(c) for k, c in zip(keys, by, strict=True)})
+    line = [*keys, *order] or [F.lit(0)]
+    spread = marked.repartitionByRange(*line).sortWithinPartitions(*line)
+    at = F.monotonically_increasing_id()
+    rows = stash(spread.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at), "placed")
+    parts = rows.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).withColumn("__size", F.sum("__n").over(Window.partitionBy(*keys)))
+    parts = parts.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("__part").alias("__part_"), "__first", "__before", "__size")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.col("__part") == F.col("__part_"))
+    out = rows.join(F.broadcast(parts), same)  # as many rows as parts and classes together
+    return out.withColumn("__place", F.col("__at") - F.col("__first") + F.col("__before")).select(*df.columns, "__place", "__size")
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less every column whose name equals one of names, whatever its case: operators own their output names."""
     gone = {n.lower() for n in names}

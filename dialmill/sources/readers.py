@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dialmill.runtime import placed
+
 STRINGS = "array<string>"
 SEED = (
     "seed_id string, split string, category_id int, category string, subcategory string, scenario string, user_goal string, customer_role string, service_stage string, "
@@ -30,11 +32,52 @@ def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def checked_seeds(spark: SparkSession, *paths: str, expect: int, split: str | None = None, per_category: int | None = None) -> DataFrame:
+    """Seeds sorted by id; another count, split or number in a category raises."""
+    out = seeds(spark, *paths, expect=expect)
+    if split is not None and (n := out.filter(~F.col("split").eqNullSafe(split)).count()):
+        raise ValueError(f"{n} seeds of another split than {split}")
+    if per_category is not None and (odd := out.groupBy("category_id").count().filter(F.col("count") != per_category).limit(5).collect()):
+        raise ValueError(f"{per_category} seeds a category expected: {[(r.category_id, r['count']) for r in odd]}")
+    return out.orderBy("seed_id")
+
+
+def keyed_folder(spark: SparkSession, path: str, key: str, schema: str = SEED) -> DataFrame:
+    """The rows of a folder's JSON-lines files, one per key: the last file's, by name."""
+    rows = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").json(path).withColumn("__order", F.concat_ws("|", "_metadata.file_name", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")))
+    return last_by_key(rows, key, "__order").drop("__order")
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str | None:
+    """The first of the paths that is there, in any store that Spark reads."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return path
+    return None
+
+
+def prompt(spark: SparkSession, path: str) -> str:
+    """A text file, whole, as a parameter of generation."""
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def questions(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """A fixed list of questions with their numbers."""
+    return spark.createDataFrame(list(enumerate(texts)), "n int, question string")
+
+
+def tool_names(spark: SparkSession, path: str) -> list[str]:
+    """Registered names; without a registry none, which turns the check of names off (S10). As many as there are tools."""
+    return [r.tool_name for r in tools(spark, path).select("tool_name").collect()] if first_existing(spark, path) else []
+
+
 def tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines with their file) of a JSON-lines file (S3)."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(F.trim("value") != "")
-    parsed = raw.withColumn("ok", F.try_parse_json("value").isNotNull()).withColumn("row", F.from_json("value", schema))
-    return parsed.filter("ok").select("row.*"), parsed.filter("NOT ok").select("file", F.col("value").alias("line"))
+    """(good rows, bad lines with their file and line number) of JSON-lines files."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    lines = placed(raw, ["file"], ["__block", "__row"]).filter(F.trim("value") != "")
+    parsed = lines.withColumn("ok", F.try_parse_json("value").isNotNull()).withColumn("row", F.from_json("value", schema))
+    return parsed.filter("ok").select("row.*"), parsed.filter("NOT ok").select("file", (F.col("__place") + 1).alias("line_number"), F.col("value").alias("line"))
 
 
 def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:

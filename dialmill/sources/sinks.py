@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from dialmill.operators.generate import question
 
 
 def json_lines(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -13,6 +14,18 @@ def json_lines(df: DataFrame, path: str, columns: list[str] | None = None) -> No
     (df.select(*columns) if columns else df).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+def json_array(df: DataFrame, path: str, most: int = 10_000) -> None:
+    """A report's rows as one JSON array, in df's order; more rows than most raise: large tables go to ``json_lines`` (K4)."""
+    spark = df.sparkSession
+    rows = df.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one array")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(("[\n" + ",\n".join(rows) + "\n]\n").encode()))
+    out.close()
+
+
 def dual(df: DataFrame, trainer: DataFrame, path: str) -> None:
     """Full records and the trainer's projection side by side (K3)."""
     json_lines(df, f"{path}/full")
@@ -48,11 +61,14 @@ def markdown(title: str, sections: dict[str, DataFrame], most: int = 200) -> str
 
 
 def dashboard(title: str, rates: DataFrame, items: DataFrame, most: int = 500) -> str:
-    """A self-contained page: rates per group and up to most items, filtered by verdict in the browser."""
+    """A self-contained page: rates per group and the items, filtered by verdict in the browser (K13, F17, F18); more than most raise."""
+    groups, shown = rates.limit(most + 1).collect(), items.limit(most + 1).collect()
+    if max(len(groups), len(shown)) > most:
+        raise ValueError(f"more than {most} rows for one page")
     cells = lambda r: "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r)
     head = lambda df: "<tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + "</tr>"
-    body = "".join(f"<tr>{cells(r)}</tr>" for r in rates.limit(most).collect())
-    rows = "".join(f'<tr class="item" data-verdict="{html.escape(str(r["verdict"]))}">{cells(r)}</tr>' for r in items.limit(most).collect())
+    body = "".join(f"<tr>{cells(r)}</tr>" for r in groups)
+    rows = "".join(f'<tr class="item" data-verdict="{html.escape(str(r["verdict"]))}">{cells(r)}</tr>' for r in shown)
     script = "function show(v){document.querySelectorAll('.item').forEach(function(e){e.hidden=v&&e.dataset.verdict!==v})}"
     buttons = "".join(f"<button onclick=\"show('{v}')\">{v or 'all'}</button>" for v in ("", "candidate", "baseline", "tie"))
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><script>{script}</script><h1>{html.escape(title)}</h1><table>{head(rates)}{body}</table>{buttons}<table>{head(items)}{rows}</table>"
@@ -60,4 +76,4 @@ def dashboard(title: str, rates: DataFrame, items: DataFrame, most: int = 500) -
 
 def frozen_questions(seeds: DataFrame, path: str) -> None:
     """Rule columns and the question, sorted by id."""
-    json_lines(seeds.orderBy("seed_id").withColumn("question", F.col("question")), path)
+    json_lines(seeds.orderBy("seed_id").withColumn("question", question()), path)

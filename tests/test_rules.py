@@ -115,7 +115,7 @@ def test_validate_records(spark):
     rec = [("s1", "tool_call", 1, [("user", "q"), ("assistant", body)]), ("s1", "tool_call", 2, [("user", "q"), ("assistant", body)]), ("zz", "single_turn", 3, [("user", "q")]), ("t1", "single_turn", 4, [("user", "q"), ("assistant", "承诺免费更换电池" * 4)]), ("s1", "tool_call", 5, [("user", "q"), ("assistant", body.replace(call, "处理成功"))])]
     df = spark.createDataFrame(rec, "seed_id string, sample_type string, ord int, messages array<struct<role:string, content:string>>")
     got = {r.ord: sorted(r.errors) for r in V.validate(df, s, tools).collect()}
-    assert got == {1: ["V18"], 2: ["V18", "V20"], 3: ["V1"], 4: ["V11", "V11", "V12", "V13", "V14", "V2"], 5: ["V15"]}
+    assert got == {1: ["V18"], 2: ["V18", "V20"], 3: ["V1"], 4: ["V11", "V11", "V12", "V13", "V14", "V2"], 5: ["V15", "V19"]}
 
 
 def test_generated_records_pass_validation(spark):
@@ -161,15 +161,54 @@ def test_margins(spark):
     assert [r.x for r in df.select(P.margin_reason().alias("x")).collect()] == ["margin", None, "length", None, None]
 
 
-def test_pairs_have_margin(spark):
-    s = S.prepared(seeds(spark, {"category_id": 3, "tool_required": True, "tool_name": "lookup"}))
-    c = P.candidates(s)
-    good = S.score(c.withColumn("answer", F.col("chosen")), ["lookup"]).select("style", "defect", F.col("total").alias("a"))
-    bad = S.score(c.withColumn("answer", F.col("rejected")), ["lookup"]).select("style", "defect", F.col("total").alias("b"))
-    rows = good.join(bad, ["style", "defect"]).collect()
-    assert len(rows) == 12 and all(r.a - r.b >= R.DEFAULT.margin for r in rows)
-    t = P.trainer_rows(c.withColumn("question", F.col("scenario")))
-    assert P.bad_trainer_rows(t).count() == 0 and P.bad_trainer_rows(t.withColumn("prompt", F.slice("prompt", 1, 0))).count() == 12
+def registry(spark):
+    return spark.createDataFrame([("lookup", ["topic"], ["issue_summary", "vehicle_id", "other"])], "tool_name string, required array<string>, properties array<string>")
+
+
+def test_first_set_of_pairs(spark):
+    """Chosen texts reach twelve points and beat every degraded text by four; calls hold only what the customer said."""
+    s = P.with_registry(seeds(spark, {"category_id": 3, "tool_required": True, "tool_name": "lookup"}, {"seed_id": "s2", "category_id": 6, "tool_required": True, "tool_name": "lookup"}, {"seed_id": "s3", "category_id": 1}), registry(spark))
+    best = {r.seed_id: r for r in P.best_chosen(s, ["lookup"]).collect()}
+    assert len(best) == 3 and all(r.score_chosen >= 12 and r.reached and r.variant == 0 for r in best.values())
+    assert '"arguments": {"issue_summary":"了解电池保修"}}' in best["s1"].chosen and "①车辆识别代号/车架号；②「other」对应信息。" in best["s1"].chosen and "<tool_call>" not in best["s3"].chosen
+    bad = P.totals(P.exploded(s, "defect", P.DEFECT_ORDER).withColumn("text", P.rejected(F.col("defect"), F.lit(3))), "text", ["lookup"], "rejected").collect()
+    assert len(bad) == 12 and all(best[r.seed_id].score_chosen - r.score_rejected >= R.DEFAULT.margin for r in bad)
+    made_up = next(r.text for r in bad if r.seed_id == "s1" and r.defect == "fabrication")
+    assert '"vehicle_id":"VID264381759016661"' in made_up and '"other":"2024款长续航版3"' in made_up
+    second = P.second_set(s, ["lookup"])
+    assert second.count() == 36 and second.filter("score_chosen < 12 OR score_chosen - score_rejected < 4").count() == 0
+    t = P.trainer_rows(second.withColumn("question", generate.question()), "be kind")
+    assert P.bad_trainer_rows(t).count() == 0 and P.bad_trainer_rows(t.withColumn("prompt", F.slice("prompt", 2, 1))).count() == 36 and t.first().prompt[0].content == "be kind"
+    with pytest.raises(ValueError, match="rejected"):
+        P.bad_trainer_rows(t.drop("rejected"))
+
+
+def test_filled_pairs_stop_at_their_targets(spark):
+    rows = seeds(spark, *[{"seed_id": f"s{i:03}", "category_id": 3 if i % 2 else 1} for i in range(80)])
+    train = P.with_registry(rows, registry(spark))
+    real = spark.createDataFrame([("s000", "completeness"), ("s001", "safety")], "seed_id string, defect string")
+    got = P.filled(train, real, [], dict.fromkeys(P.DEFECT_ORDER, 6), 9).collect()
+    assert [r.defect for r in got].count("safety") == 5 and [r.defect for r in got].count("completeness") == 2  # nine pairs with the real ones
+    assert not {r.seed_id for r in got} & {"s000", "s001"} and sorted(r.idx for r in got if r.defect == "safety") == list(range(5))
+
+
+def test_places_in_classes(spark):
+    """Places over several parts, with a hot class, null classes and ties."""
+    from dialmill.runtime import placed
+
+    rows = [(i, "hot" if i % 3 else None if i % 2 else "b", i // 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, c string, o int").repartition(7)
+    got = placed(df, ["c"], ["o", "k"]).collect()
+    for c in ("hot", "b", None):
+        own = sorted((r for r in got if r.c == c), key=lambda r: r["__place"])
+        assert [r["__place"] for r in own] == list(range(len(own))) and [r.k for r in own] == sorted(r.k for r in own) and all(r["__size"] == len(own) for r in own)
+    assert placed(df.limit(0), ["c"], ["o"]).count() == 0 and [r.k for r in placed(df, [], ["k"]).orderBy("__place").collect()] == list(range(1000))
+
+
+def test_supplement_styles(spark):
+    s = P.with_registry(seeds(spark, {"tool_required": True, "tool_name": "lookup", "required_facts": ["a", "b", "c", "d"]}, {"seed_id": "s2", "category_id": 6}), registry(spark))
+    got = {(r.seed_id, r.variant): r.answer for r in generate.supplement(s).collect()}
+    assert len(got) == 6 and "①a；①b；①c。" in got["s1", 0] and "• a；• b；• c。" in got["s1", 1] and "1. 查询保修政策。" in got["s1", 1] and "<tool_call>" in got["s1", 2] and "先确保安全" in got["s2", 2]
 
 
 def test_quota_sample_variant(spark):
@@ -194,6 +233,33 @@ def test_arena(spark):
     assert arena.rates(spark.createDataFrame([("candidate",)], "verdict string")).first().elo == 800.0
 
 
+def test_asserted_readers_and_array_sink(spark, tmp_path):
+    rows = [BASE | {"seed_id": f"s{i}", "split": "final_test", "category_id": i % 2 + 1} for i in (3, 1, 2, 0)]
+    (tmp_path / "final_test").mkdir()
+    for k in (0, 1):
+        (tmp_path / "final_test" / f"c{k}.jsonl").write_text("\n".join(json.dumps(r) for r in rows[2 * k : 2 * k + 2]) + "\n")
+    got = readers.checked_seeds(spark, f"{tmp_path}/final_test/*.jsonl", expect=4, split="final_test", per_category=2)
+    assert [r.seed_id for r in got.collect()] == ["s0", "s1", "s2", "s3"]
+    for wrong in ({"expect": 5}, {"expect": 4, "split": "train"}, {"expect": 4, "per_category": 3}):
+        with pytest.raises(ValueError):
+            readers.checked_seeds(spark, f"{tmp_path}/final_test/*.jsonl", **wrong)
+    assert readers.keyed_folder(spark, f"{tmp_path}/final_test", "seed_id").count() == 4
+    assert readers.tool_names(spark, f"{tmp_path}/none.json") == []
+    (tmp_path / "prompt.md").write_text("be\nkind\n")
+    assert readers.prompt(spark, f"{tmp_path}/prompt.md") == "be\nkind\n"
+    assert readers.first_existing(spark, f"{tmp_path}/no", f"{tmp_path}/prompt.md").endswith("prompt.md") and readers.first_existing(spark, f"{tmp_path}/no") is None
+    sinks.json_array(got.select("seed_id"), f"{tmp_path}/array.json")
+    assert [r.seed_id for r in readers.array_file(spark, f"{tmp_path}/array.json", "seed_id string").collect()] == ["s0", "s1", "s2", "s3"]
+    sinks.frozen_questions(got, f"{tmp_path}/frozen")
+    assert spark.read.json(f"{tmp_path}/frozen").first().question == "您好，客户询问电池保修政策的年限。我的诉求是：了解电池保修。请帮我处理。"
+    (tmp_path / "odd.jsonl").write_text('{"seed_id": "a"}\n\n{oops\n{"seed_id": "b"}\nx\n')
+    good, bad = readers.tolerant(spark, f"{tmp_path}/odd.jsonl", "seed_id string")
+    assert good.count() == 2 and sorted((r.line_number, r.line) for r in bad.collect()) == [(3, "{oops"), (5, "x")]
+    with pytest.raises(ValueError, match="more than 3"):
+        sinks.dashboard("t", got.select("seed_id"), got.withColumn("verdict", F.lit("tie")), most=3)
+    assert readers.questions(spark, ["a", "b"]).count() == 2
+
+
 def test_readers_and_sinks(spark, tmp_path):
     p = tmp_path / "seeds.jsonl"
     p.write_text("\n".join([json.dumps(BASE, ensure_ascii=False), "", json.dumps(BASE | {"seed_id": "s2"})]) + "\n")
@@ -296,11 +362,14 @@ def test_spread_small_inputs(spark, tmp_path):
 
 
 def test_reports(spark, sf):
-    from dialmill.plans import derive, queries_score, reports
+    from dialmill.plans import derive, queries_more, queries_pairs, reports
 
     n = derive.narrow(spark, sf)
     m = derive.matches(spark, sf)
-    assert "## Advice" in reports.score_report(n) and "## Verdict" in reports.final_report(queries_score.both_models(spark, sf), m)
-    assert "data-verdict" in reports.arena_page(m) and "## Shares" in reports.pair_report(derive.pairs(spark, sf))
+    assert "## Advice" in reports.score_report(n) and reports.final_report(queries_more.evaluated(spark, sf), m, n).count("\n## ") == 11
+    assert "data-verdict" in reports.arena_page(m.limit(300)) and "## Matches" in reports.arena_report(m.limit(100))
+    pairs, drops = queries_pairs.real_pair_sets(spark, sf)
+    said = reports.pair_report(pairs.withColumn("len_rejected", F.lit(1)), drops=drops)
+    assert all(f"## {x}" in said for x in ("Shares", "By source", "Dropped"))
     cov = metrics.judge_coverage(spark.createDataFrame([(True, False), (False, False)], "judged boolean, cached boolean")).first()
     assert (cov.n, cov.judged, cov.by_rules) == (2, 1, 1) and spark.range(1).select(metrics.signed(F.lit(1.5)).alias("s")).first().s == "+1.50"
