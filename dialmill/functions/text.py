@@ -177,15 +177,14 @@ def is_half(c: Column, limit: int = R.DEFAULT.half_length) -> Column:
 def clean_scenario(c: Column) -> Column:
     """c without the known prefixes, each at most once and in order, then without a leading customer noun."""
     out = strip(c)
-    for p in (*R.SCENARIO_PREFIXES, R.CUSTOMER):
-        out = F.when(F.startswith(out, F.lit(p)), F.substring(out, F.lit(len(p) + 1), F.length(out))).otherwise(out)
+    for p in (*R.SCENARIO_PREFIXES, R.CUSTOMER):  # anchored replacements: each step reads the last one once
+        out = F.regexp_replace(out, f"^\\Q{p}\\E", "")
     return out
 
 
 def situation(scenario: Column, role: Column) -> Column:
     """The scenario in the caller's voice."""
-    s = clean_scenario(scenario)
-    s = F.when(F.startswith(s, F.lit(R.ASKING)), F.concat(F.lit(R.ASKED), F.substring(s, F.lit(len(R.ASKING) + 1), F.length(s)))).otherwise(s)
+    s = F.regexp_replace(clean_scenario(scenario), f"^\\Q{R.ASKING}\\E", R.ASKED)
     return F.replace(s, F.lit(R.CUSTOMER), F.when(role.isin(*R.PROXY_ROLES), R.OWNER).otherwise(R.SELF))
 
 

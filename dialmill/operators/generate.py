@@ -60,9 +60,9 @@ def empathy(p: Phrases) -> Column:
 
 
 def first_message(p: Phrases, extra: Column | None = None, ask: bool = True) -> Column:
-    """The caller's first message."""
+    """The caller's first message (G5); the scenario in the caller's voice is in __situation."""
     opener = F.when(is_proxy(), _pick(p.proxy_openers, "o")).when(F.col("category_id") == 8, _pick(p.care_openers, "o")).otherwise(_pick(p.openers, "o"))
-    return F.concat(opener, X.situation(F.col("scenario"), F.col("customer_role")), F.lit("。"), extra if extra is not None else F.lit(""), _pick(p.requests, "r") if ask else F.lit(""))
+    return F.concat(opener, F.col("__situation"), F.lit("。"), extra if extra is not None else F.lit(""), _pick(p.requests, "r") if ask else F.lit(""))
 
 
 def ordered(questions: Column, shuffle: Column) -> Column:
@@ -127,14 +127,16 @@ def message(role: str, content: Column) -> Column:
 
 
 def multi_turn(p: Phrases) -> Column:
-    """One question a turn while more than one is left and fewer than two were asked; the rest in the last reply."""
+    """One question a turn while more than one is left and fewer than two were asked; the rest in the last reply.
+
+    The caller's replies are in __reply1 and __reply2.
+    """
     q = F.coalesce(F.col("required_questions"), X.empty())
     asked = F.least(F.lit(2), F.greatest(F.size(q) - 1, F.lit(0)))
     first, second = F.get(q, F.lit(0)), F.get(q, F.lit(1))
-    one = reply_to(first, p)
     turns = F.array(
-        F.struct(message("assistant", F.concat(empathy(p), _pick(p.one_question, "q"), first, F.lit("。"))).alias("a"), message("user", one).alias("u")),
-        F.struct(message("assistant", F.concat(F.lit("Thank you. One more thing to confirm: "), second, F.lit("。"))).alias("a"), message("user", reply_to(second, p, one)).alias("u")),
+        F.struct(message("assistant", F.concat(empathy(p), _pick(p.one_question, "q"), first, F.lit("。"))).alias("a"), message("user", F.col("__reply1")).alias("u")),
+        F.struct(message("assistant", F.concat(F.lit("Thank you. One more thing to confirm: "), second, F.lit("。"))).alias("a"), message("user", F.col("__reply2")).alias("u")),
     )
     middle = F.flatten(F.transform(F.slice(turns, F.lit(1), asked), lambda t: F.array(t["a"], t["u"])))
     rest = F.slice(q, asked + 1, F.greatest(F.size(q) - asked, F.lit(0)))
@@ -157,7 +159,11 @@ def records(seeds: DataFrame, tools: DataFrame, p: Phrases = DEFAULT, kinds: tup
     out = out.filter(F.col("sample_type").isin(*kinds))
     if "multi_turn" not in kinds:
         out = out.filter((F.col("variant") == 0) | (F.col("sample_type") == "tool_call"))
-    args = arguments(F.col("__required"))
+    q = F.coalesce(F.col("required_questions"), X.empty())
+    # Long expressions that are read more than once are columns of their own.
+    out = out.withColumn("__args", arguments(F.col("__required"))).withColumn("__situation", X.situation(F.col("scenario"), F.col("customer_role")))
+    out = out.withColumn("__reply1", reply_to(F.get(q, F.lit(0)), p)).withColumn("__reply2", reply_to(F.get(q, F.lit(1)), p, F.col("__reply1")))
+    args = F.col("__args")
     given = lambda name, before: F.when(F.map_contains_key(args, F.lit(name)), F.concat(F.lit(before), F.element_at(args, F.lit(name)), F.lit("，")))
     told = F.coalesce(given("vehicle_id", "我的车架号（VIN）是"), given("work_order_id", "我的工单号是"), given("city", "我在"), F.lit(""))
     call = F.concat(empathy(p), sentence(F.coalesce(F.col("required_facts"), X.empty()), _pick(p.facts, "f")), X.call_block(F.col("tool_name"), args), _pick(p.waits, "w"), question_sentence(F.coalesce(F.col("required_questions"), X.empty()), p), sentence(F.coalesce(F.col("required_actions"), X.empty()), _pick(p.actions, "a")), _pick(p.closings, "c"))
