@@ -33,10 +33,10 @@ def matrix(vectors: pd.Series, dim: int) -> np.ndarray:
 
 
 class Lists:
-    """Sorted lists of every dimension over a block of vectors."""
+    """Sorted lists of every dimension over a block of vectors; ``scored`` counts the vectors scored in full."""
 
     def __init__(self, ids: np.ndarray, block: np.ndarray) -> None:
-        self.ids, self.block = ids, block
+        self.ids, self.block, self.scored = ids, block, 0
         self.order = np.argsort(block, axis=0, kind="stable").T.copy() if len(ids) else np.zeros((block.shape[1], 0), int)
         self.values = np.take_along_axis(block.T, self.order, 1)
 
@@ -57,6 +57,7 @@ class Lists:
             new &= ~seen
             seen |= new
             fresh = np.flatnonzero(new)
+            self.scored += len(fresh)
             fresh = fresh[self.ids[fresh] != query_id]
             ids, scores = np.concatenate([best_ids, self.ids[fresh]]), np.concatenate([best, self.block[fresh] @ q])
             if len(ids) > 4 * k and q.dtype != object:

@@ -70,6 +70,28 @@ def test_language_windows_agree(monkeypatch):
     assert one[0] == two[0] and np.array_equal(one[1], two[1]) and [model.predict([t])[0][0] for t in texts] == one[0]
 
 
+def test_language_posterior_brute_force(spark):
+    """Every prediction and score against Bayes' rule over counted n-grams; letterless texts teach nothing, no language either."""
+    train = [("a", "the cat and the dog"), ("a", "the end of the day"), ("b", "le chat et le chien"), ("b", "la fin du jour"), ("b", "où est le chat"), ("zz", "123"), ("zz", "?!"), ("zz", ""), ("a", "42"), (None, "the cat"), ("b", None)]
+    rows = [(i, t, v) for i, (v, t) in enumerate(train)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["a", "b"]
+    own = {v: [t for w, t in train if w == v and t and any(c.isalpha() for c in t)] for v in "ab"}
+
+    def counted(texts):
+        got = Counter()
+        for _, bucket in langid.grams(*langid.letters(texts)):
+            got.update(bucket.tolist())
+        return got
+
+    counts, n = {v: counted(t) for v, t in own.items()}, 1 << langid.BITS
+    for text in ["the chat", "le jour", "où the", "cat cat cat", "xyz"]:
+        log = {v: math.log((len(own[v]) + 1) / (5 + 2)) + sum(k * math.log((counts[v][b] + 0.5) / (counts[v].total() + 0.5 * n)) for b, k in counted([text]).items()) for v in "ab"}
+        best = max(log, key=log.get)
+        (lang,), (score,) = model.predict([text])
+        assert lang == best and score == pytest.approx(1 / sum(math.exp(x - log[best]) for x in log.values()), abs=1e-3)
+
+
 def test_language_odd_rows(spark):
     d = clash(odd_docs(spark))
     model = langid.train(d)
@@ -118,7 +140,7 @@ def test_top_k_stops_early():
     block = np.zeros((1000, 3))
     block[:, 0] = np.arange(1000)
     lists = topk.Lists(np.arange(1000), block)
-    assert lists.top(-1, np.array([1.0, 0.0, 0.0]), 3)[0].tolist() == [999, 998, 997] and lists.top(-1, np.array([-1.0, 0.0, 0.0]), 3)[0].tolist() == [0, 1, 2]
+    assert lists.top(-1, np.array([1.0, 0.0, 0.0]), 3)[0].tolist() == [999, 998, 997] and lists.scored == topk.DEPTH and lists.top(-1, np.array([-1.0, 0.0, 0.0]), 3)[0].tolist() == [0, 1, 2]
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------------
