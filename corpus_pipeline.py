@@ -15,30 +15,53 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is recognised."""
+    """Keep the documents whose language is recognised.
+
+    A null or empty text, or one without a letter, is rejected; other columns may be null; repeated rows share their fate;
+    of equally likely languages the first by name counts; an empty table, or one without labelled text, gives an empty
+    result; columns other than COLUMNS play no part.
+    """
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     out = langid.predict(docs.select(*COLUMNS), model)
     return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies."""
+    """Keep one document of each class of near copies.
+
+    Null and empty texts are classes of their own, so such rows stay, one for each id; rows without an id stay; of a class
+    the least id stays, and for that id the least key of its text; of rows that repeat id and text, the least by the other
+    columns; an empty table gives an empty result; columns other than COLUMNS play no part.
+    """
     return neardup.drop_near_copies(docs.select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts by its kind; n_chars follows the text."""
+    """Replace personal data in the texts by its kind; n_chars follows the text.
+
+    A null text stays null, with its n_chars; an empty one stays empty; repeated rows are redacted alike; where spans
+    compete, base spans stay, then the set with the largest total score; an empty table gives an empty result; columns
+    other than COLUMNS play no part.
+    """
     out = pii.detect(docs.select(*COLUMNS), pii.default_model(), masked=True)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def remix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights."""
+    """Repeat or leave out documents so that sources meet their target weights.
+
+    A null or empty text weighs nothing, and its row draws as others do; a null source is a source of its own; rows
+    without an id and repeated rows draw one by one; an empty table gives an empty result; columns other than COLUMNS play no part.
+    """
     return mixing.mix(docs.select(*COLUMNS))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, with digests of ids and decoded text."""
+    """The token ids of every document, with digests of ids and decoded text.
+
+    A null or empty text has no tokens; repeated rows, which mixing makes, keep a row each; an empty table gives an empty
+    result; columns other than COLUMNS play no part.
+    """
     return bpe.encode(docs.select(*COLUMNS), vocabulary(), keep=["doc_id", "lang", "source"], with_ids=True)
 
 
