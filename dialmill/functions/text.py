@@ -233,6 +233,12 @@ def duration(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%d:%02d", m, s % 60))
 
 
+def html_answer(c: Column) -> Column:
+    """An answer for a page: escaped, its call tags in a span."""
+    out = F.replace(html_escape(c), F.lit("&lt;tool_call&gt;"), F.lit('<span class="tc">&lt;tool_call&gt;'))
+    return F.replace(out, F.lit("&lt;/tool_call&gt;"), F.lit("&lt;/tool_call&gt;</span>"))
+
+
 def html_escape(c: Column) -> Column:
     out = text_or_empty(c)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

@@ -118,6 +118,25 @@ def conclusion(both: DataFrame) -> DataFrame:
     return out.withColumn("conclusion", F.when(F.col("base_kept") & F.col("rules_kept"), "yes").when(F.col("rules_kept"), "rules only").when(F.col("base_kept"), "base only").otherwise("no"))
 
 
+#: (topic, test over the aggregates of ``advice``), in order; the default comes when none fires.
+NEXT = (
+    ("safety phrases", "c_safety > 0"), ("rescue phrases", "c_rescue > 0"), ("made-up details", "c_made_up > 0"), ("missing calls", "c_call > 0"),
+    ("half answers", "c_half > 0"), ("prohibited statements", "c_broken > b_broken"), ("little gain", "d <= 0.3 OR w <= l"), ("keep", "improved <> ''"),
+)
+
+
+def advice(both: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(rank, topic): what the next round should add, from the candidate's remaining defects and the comparison."""
+    won = lambda v: F.count_if(F.col("verdict") == v)
+    one = both.agg((F.avg("c_total") - F.avg("b_total")).alias("d"), won("candidate").alias("w"), won("baseline").alias("l"), F.count_if(F.col("c_fabrication") < 2).alias("c_made_up"), *[F.count_if(F.col(f"{s}_prohibited") == 0).alias(f"{s}_broken") for s in "cb"])
+    left = candidate.agg(*[F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(n) for n, f in (("c_safety", "safety_missing"), ("c_rescue", "rescue_missing"), ("c_call", "call_missing"), ("c_half", "half_answer"))])
+    better = compare_categories(both).filter("change = 'improved'").agg(F.array_join(F.sort_array(F.collect_list("category_id")).cast("array<string>"), ",").alias("improved"))  # a row per category
+    key = lambda df: df.withColumn("__k", F.lit(1))
+    row = key(one).join(key(left), "__k").join(key(better), "__k")
+    fired = F.array_compact(F.array(*[F.when(F.expr(test), F.lit(topic)) for topic, test in NEXT]))
+    return row.select(F.posexplode(F.when(F.size(fired) > 0, fired).otherwise(F.array(F.lit("none")))).alias("rank", "topic")).select((F.col("rank") + 1).alias("rank"), "topic")
+
+
 def final_verdict(both: DataFrame) -> DataFrame:
     """One row: whether the candidate's mean isn't lower and its bad cases aren't more, and the outcome of both."""
     one = both.agg(F.avg("c_total").alias("mean_candidate"), F.avg("b_total").alias("mean_baseline"), F.count_if("c_bad").alias("bad_candidate"), F.count_if("b_bad").alias("bad_baseline"))

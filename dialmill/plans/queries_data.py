@@ -185,6 +185,15 @@ def judge_stub_scores(spark, sf_dir):
     return incremental.ask(d, length_judge).select("doc_id", "value")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (length(coalesce(text, '')) % 15)::VARCHAR END AS value, doc_id % 2 = 0 AND doc_id % 11 <> 0 AS cached FROM documents")
+def judge_cache_rerun(spark, sf_dir):
+    """Even documents are judged first; then all, where failures of the first pass are asked again (ST2)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    path = shared_path(spark, "judge-cache")
+    incremental.answered(d.filter("doc_id % 2 = 0"), path, "doc_id", length_judge)
+    return incremental.answered(d, path, "doc_id", length_judge).select("doc_id", "value", "cached")
+
+
 @query("SELECT md5(text) AS digest FROM documents WHERE text IS NOT NULL GROUP BY text")
 def streaming_dedup(spark, sf_dir):
     """Documents as a stream of files, deduplicated by digest in state, drained to a table."""

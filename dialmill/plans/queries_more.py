@@ -177,6 +177,14 @@ def conclusion(spark, sf_dir):
     return arena.conclusion(evaluated(spark, sf_dir))
 
 
+@query(f"""WITH {BOTH_SQL}, k AS ({COMPARE_SQL}), o AS (SELECT avg(c_total) - avg(b_total) AS d, count(*) FILTER (verdict = 'candidate') AS w, count(*) FILTER (verdict = 'baseline') AS l, count(*) FILTER (c_fabrication < 2) AS c_made_up, count(*) FILTER (c_prohibited = 0) AS c_broken, count(*) FILTER (b_prohibited = 0) AS b_broken,
+  (SELECT coalesce(string_agg(category_id::VARCHAR, ',' ORDER BY category_id), '') FROM k WHERE delta >= 0.25) AS improved, {', '.join(f"(SELECT count(*) FROM scored WHERE doc_id % 2 = 0 AND {f}) AS {n}" for n, f in (("c_safety", "safety_missing"), ("c_rescue", "rescue_missing"), ("c_call", "call_missing"), ("c_half", "half_answer")))} FROM both3),
+fired AS ({' UNION ALL '.join(f"SELECT {i} AS k, '{topic}' AS topic FROM o WHERE {test}" for i, (topic, test) in enumerate(arena.NEXT))})
+SELECT (row_number() OVER (ORDER BY k))::INT AS rank, topic FROM fired UNION ALL SELECT 1, 'none' WHERE NOT EXISTS (SELECT 1 FROM fired)""")
+def next_round_advice(spark, sf_dir):
+    return arena.advice(evaluated(spark, sf_dir), D.narrow(spark, sf_dir).filter("doc_id % 2 = 0"))
+
+
 @query(f"WITH {D.MATCHES_SQL} SELECT category_id, doc_id, verdict, gap FROM matches WHERE verdict <> 'tie' ORDER BY category_id, doc_id LIMIT 40")
 def ordered_matches(spark, sf_dir):
     """Decided matches by category and id."""

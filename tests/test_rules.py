@@ -316,6 +316,18 @@ def test_ask_retries(spark):
     assert [r.value for r in incremental.ask(spark.range(2).toDF("k"), judge).orderBy("k").collect()] == ["0", None]
 
 
+def test_cache_keeps_answers_and_asks_again_for_failures(spark, tmp_path):
+    path, d = str(tmp_path / "cache"), spark.range(6).toDF("k")
+    first = incremental.answered(d.filter("k < 4"), path, "k", lambda row: None if row["k"] == 2 else f"first {row['k']}")
+    assert {r.k: r.value for r in first.collect()} == {0: "first 0", 1: "first 1", 2: None, 3: "first 3"}
+    again = incremental.answered(d, path, "k", lambda row: f"second {row['k']}", pause=0.01)
+    assert {r.k: (r.value, r.cached) for r in again.collect()} == {0: ("first 0", True), 1: ("first 1", True), 2: ("second 2", False), 3: ("first 3", True), 4: ("second 4", False), 5: ("second 5", False)}
+    text = spark.createDataFrame([(" a ", "b"), (" ", "b"), (None, None)], "r string, t string").select(incremental.said(F.col("r"), F.col("t")).alias("x"))
+    assert [r.x for r in text.collect()] == ["a", "b", None]
+    page = spark.range(1).select(X.html_answer(F.lit("<tool_call>{}</tool_call> & x")).alias("x")).first().x
+    assert page == '<span class="tc">&lt;tool_call&gt;{}&lt;/tool_call&gt;</span> &amp; x'
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"]), ("c", [])], "k string, e array<string>")
     assert {r.reason: r.n for r in metrics.reasons(df, "e").collect()} == {"x": 2, "y": 1}
