@@ -326,8 +326,12 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c, _ in want}) and kept.filter("doc_id IS NULL").count() == 1
 
 
-def test_near_duplicates_across_clusters(spark, monkeypatch):
-    """Without clusters every link comes from candidate pairs: the forest alone finds them."""
+@pytest.mark.parametrize("hot, block, leaf", [(1000, 512, 8), (1, 5, 3)])
+def test_near_duplicates_across_clusters(spark, monkeypatch, hot, block, leaf):
+    """Without clusters every link comes from candidate pairs: the forest alone finds them, with hot nodes named or joined, and in blocks."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "NODE_ROWS", block)
+    monkeypatch.setattr(neardup, "LEAF", leaf)
     rows = near_rows(60, 5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(neardup, "clusters", lambda reps: reps.limit(0).select("rid", F.col("rid").alias("cluster")))
@@ -364,6 +368,16 @@ def test_near_duplicates_short_texts(spark, monkeypatch):
     assert {r.doc_id for r in got.collect()} == want and len(want) >= 1995
 
 
+def test_recall_of_each_text():
+    """A text that stays in the first lot reaches the recall by its own depths; with all trees at full depth any text does."""
+    first = neardup.FIRST_LOT
+    assert 1 - math.exp(first * neardup.miss(2)) >= neardup.RECALL and 1 - math.exp(neardup.TREES * neardup.miss(neardup.DEPTH)) >= neardup.RECALL
+    short = math.log(1 - neardup.RECALL) - first * neardup.miss(2)
+    for deep in range(first + 1):
+        lost = deep * (neardup.miss(4) - neardup.miss(2))
+        assert (lost <= short) == (1 - math.exp((first - deep) * neardup.miss(2) + deep * neardup.miss(4)) >= neardup.RECALL)
+
+
 def test_shingles_of_long_words(monkeypatch):
     text = "aaa " + "b" * 500 + " c\x0bd " + "é" * 300 + " x"
     whole = neardup.word_hashes(text)
