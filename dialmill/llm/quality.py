@@ -1,10 +1,11 @@
 """Quality rules and a hashed n-gram log-likelihood ratio, in DataFrame operations only.
 
-Word unigrams and bigrams are hashed to BUCKETS. Counts over all documents give the raw multinomial; counts over a
-bounded sample of trusted documents (good and not toxic by label, TRUSTED of them in expectation) give the target's,
-smoothed towards the raw one. A document's score is the mean of log(target/raw) over its n-grams, in millionths; it is
-kept when no base rule fails it and its score reaches the threshold: the KEEP quantile of the trusted sample's scores
-less MARGIN. The table of ratios has BUCKETS integers whatever the corpus, and travels as a literal in the plan.
+Word unigrams and bigrams are hashed to BUCKETS. Counts over all documents give the raw multinomial; counts over all
+trusted documents (good and not toxic by label) give the target's, smoothed towards the raw one. A document's score is
+the mean of log(target/raw) over its n-grams, in millionths; it is kept when no base rule fails it and its score reaches
+the threshold: the exact KEEP quantile of the scores of all trusted documents of 50 words or more, less MARGIN. Nothing
+is sampled. The table of ratios has BUCKETS integers whatever the corpus, and travels as a literal in the plan; the
+trusted documents' buckets are kept in the shared folder, since their counts and, with the table, their scores need them.
 
 Defined cases: a null text has no word, line or symbol; a document without a word scores 0 and fails the base rules; an
 empty label table leaves the base rules alone; repeated rows keep a row each; clashing columns are replaced.
@@ -18,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialmill.llm.text import words
-from dialmill.runtime import without
+from dialmill.runtime import fits_broadcast, placed, stash, without
 
-BUCKETS, TRUSTED, KEEP, MARGIN, SMOOTH = 1 << 14, 5000, 0.002, 20_000, 20_000.0
+BUCKETS, KEEP, MARGIN, SMOOTH = 1 << 14, 0.002, 20_000, 20_000.0
 OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
 
 
@@ -36,28 +37,55 @@ def buckets() -> Column:
     return F.concat(one, two)
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = TRUSTED) -> DataFrame:
-    """A hash sample of about ``most`` ids whose labels are all good: small enough to broadcast by its construction."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Every id whose labels are all good, once, in the shared folder."""
     good = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good")).filter("good")
-    n = good.count()
-    share = min(1.0, most / n) if n else 0.0
-    return good.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * share)).select("__id")
+    return stash(good.select("__id"), "trusted-ids")
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Millionths of log(target/raw) by bucket; counts come from all documents, aggregated to BUCKETS rows."""
-    marked = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(trusted), F.col(id_col) == F.col("__id"), "left")
-    each = hashes(marked, text_col).select(F.col("__id").isNotNull().cast("long").alias("t"), F.explode(buckets()).alias("b"))
-    rows = each.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # BUCKETS rows at most
-    n, m = sum(r.raw for r in rows), sum(r.target for r in rows)
+def trusted_grams(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__n, the number of words, and __b, the buckets, of every trusted document, in the shared folder.
+
+    The ids are broadcast when they fit; otherwise texts are shuffled once, past tables of ids, so that none is sorted.
+    """
+    side = F.broadcast(trusted) if fits_broadcast(trusted) else trusted.hint("shuffle_hash")
+    known = docs.select(id_col, text_col).join(side, F.col(id_col) == F.col("__id"), "left_semi")
+    return stash(hashes(known, text_col).select(F.size("__h").alias("__n"), buckets().alias("__b")), "trusted-grams")
+
+
+def counted(df: DataFrame, grams: Column) -> dict[int, int]:
+    """How often each bucket is in grams; BUCKETS rows at most. A generator takes grams as it is, so that no filter repeats it."""
+    return {r.b: r.n for r in df.select(F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> list[int]:
+    """Millionths of log(target/raw) by bucket; raw counts come from all documents, target counts from all trusted ones (known)."""
+    target = counted(trusted_grams(docs, trusted, id_col, text_col) if known is None else known, F.col("__b"))
+    raw = counted(hashes(docs.select(text_col), text_col), buckets())
+    n, m = sum(raw.values()), sum(target.values())
     out = [0] * BUCKETS
     if m:
-        for r in rows:
-            p = (r.raw + 1) / (n + BUCKETS)
-            out[r.b] = round(1e6 * math.log((r.target + SMOOTH * p) / (m + SMOOTH) / p))
+        for b, k in raw.items():
+            p = (k + 1) / (n + BUCKETS)
+            out[b] = round(1e6 * math.log((target.get(b, 0) + SMOOTH * p) / (m + SMOOTH) / p))
     return out
 
 
+def quantile(df: DataFrame, col: str, share: float) -> float | None:
+    """The exact quantile of a column without nulls, between its two nearest values as percentile has it; None for no rows.
+
+    A range sort finds the values by their places: percentile would hold every distinct one in a single task. Equal
+    values are told apart, so that many of them are spread over tasks.
+    """
+    at = F.lit(share) * (F.col("__size") - 1)
+    near = placed(df.select(col, F.monotonically_increasing_id().alias("__tie")), [], [col, "__tie"]).filter(F.col("__place").between(F.floor(at), F.ceil(at)))
+    rows = near.select("__place", F.col(col).alias("x"), at.alias("at")).orderBy("__place").collect()  # two at most
+    if not rows:
+        return None
+    low, high = rows[0], rows[-1]
+    return low.x + (low.at - low["__place"]) * (high.x - low.x)
+
+
 def score(table: list[int]) -> Column:
     """The mean of the table's entries over __b; the table is folded to a literal once per task."""
     llr = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
@@ -86,10 +114,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """docs' columns (text included) with the base columns, base_failed, score and kept."""
     docs = without(docs, [*OWN, "__id", "__w", "__h", "__b"])
     trusted = trusted_ids(labels, label_id)
-    table = ratios(docs, trusted, id_col, text_col)
-    sample = docs.select(id_col, text_col).join(F.broadcast(trusted), F.col(id_col) == F.col("__id"), "left_semi")
-    known = hashes(sample, text_col).withColumn("__b", buckets()).filter(F.size("__h") >= 50).select(score(table).alias("s"))
-    low = known.agg(F.percentile("s", F.lit(KEEP))).first()[0]
+    known = trusted_grams(docs, trusted, id_col, text_col)
+    table = ratios(docs, trusted, id_col, text_col, known)
+    low = quantile(known.filter("__n >= 50").select(score(table).alias("s")), "s", KEEP)
     least = -math.inf if low is None else low - MARGIN
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = hashes(docs, text_col)

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from dialmill import runtime
 from dialmill.llm import bpe, langid, mixing, neardup, pii, quality, queries, sharding, topk, urlrules, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -655,6 +656,41 @@ def test_quality_brute_force_score(spark):
         assert r.score == pytest.approx(sum(table[x] for x in b[r.doc_id]) / len(b[r.doc_id]))
 
 
+def test_quality_all_trusted(spark, monkeypatch):
+    """Counts and threshold come from every trusted document, whichever way the ids meet the texts."""
+    def text(i):
+        r = random.Random(i)
+        return " ".join(f"w{r.randrange(40) + (20 if i % 7 == 0 else 0)}" for _ in range(50 + i % 3))
+
+    df = spark.createDataFrame([(i, text(i)) for i in range(8000)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(7000)] + [(5, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(7000) if i % 10 > 0} - {6}
+    trusted = quality.trusted_ids(labels)
+    assert trusted.count() == len(good) and {r[0] for r in trusted.collect()} == good
+    b = {r.doc_id: r.b for r in quality.hashes(df, "text").select("doc_id", quality.buckets().alias("b")).collect()}
+    raw, target = Counter(x for v in b.values() for x in v), Counter(x for i in good for x in b[i])
+    n, m = sum(raw.values()), sum(target.values())
+    p = {k: (v + 1) / (n + quality.BUCKETS) for k, v in raw.items()}
+    want = {k: round(1e6 * math.log((target[k] + quality.SMOOTH * p[k]) / (m + quality.SMOOTH) / p[k])) for k in raw}
+    mean = {i: sum(want[x] for x in v) / len(v) for i, v in b.items()}
+    least = np.quantile([mean[i] for i in good], quality.KEEP) - quality.MARGIN
+    for rows in (runtime.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(runtime, "BROADCAST_ROWS", rows)
+        table = quality.ratios(df, trusted)
+        assert all(table[k] == v for k, v in want.items())
+        got = quality.judge(df, labels).collect()
+        assert len(got) == 8000 and all(r.score == pytest.approx(mean[r.doc_id], abs=1e-6) for r in got)
+        assert all(r.kept == (not r.base_failed and r.score >= least) for r in got if abs(r.score - least) > 1e-3)
+
+
+def test_quality_quantile(spark):
+    for n in (1, 2, 3, 1000, 4001):
+        df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(977)) / 7).alias("s")).repartition(4)
+        for share in (0.0, 0.002, 0.5, 1.0):
+            assert quality.quantile(df, "s", share) == pytest.approx(df.agg(F.percentile("s", F.lit(share))).first()[0])
+    assert quality.quantile(spark.range(0).select(F.lit(1.0).alias("s")), "s", 0.5) is None
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 
 
