@@ -58,20 +58,25 @@ def pieces(file: str) -> list[str]:
     return [names.get(i, "") for i in range(max(names) + 1)]
 
 
+def word_ends(file: str) -> np.ndarray:
+    """For every id whether its piece ends a word."""
+    return np.array([p.endswith("</w>") for p in pieces(file)])
+
+
 class WordTable:
     """Distinct words and the bytes of their ids.
 
     Words that occur twice or more among the texts coded together stay in the table for the texts that follow.
     """
 
-    def __init__(self, file: str, most: int = TABLE_WORDS) -> None:
+    def __init__(self, file: str, most: int = TABLE_WORDS, last: np.ndarray | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
-        self.last = np.array([p.endswith("</w>") for p in pieces(file)])
+        self.last = word_ends(file) if last is None else last
         self.known: dict[str, bytes] = {}
 
     def encode(self, words: list[str], plain: bool) -> Iterator[bytes]:
@@ -119,8 +124,10 @@ def parted(words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
 
 
 def encoder(file: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    last = word_ends(file)  # once, in the driver: no task reads the file's rules
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(file)
+        table = WordTable(file, last=last)
         on = gc.isenabled()
         gc.disable()  # many small objects and no cycles: collection would cost more than the encoding
         try:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from dialmill.runtime import bound_batches, tidy, without
 
-BITS, ORDERS, SAMPLE_PER_LANG, MAX_LANGS, WINDOW = 15, (1, 2, 3), 3000, 256, 1 << 18
+BITS, ORDERS, SAMPLE_PER_LANG, MAX_LANGS, WINDOW = 15, (1, 2, 3), 3000, 256, 1 << 16
 FIXED = 1 << 16
 #: Java's name for the code points that Python's str.isalpha() counts.
 LETTER = r"\p{L}"
@@ -118,7 +118,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     spark = docs.sparkSession
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0))
-    shares = spark.createDataFrame([(v, i, min(1.0, per_lang / sizes[v])) for i, v in enumerate(langs)], "__lang string, __k int, __share double")
+    # an Arrow table becomes rows in the JVM; a list would start a second set of Python workers in every executor
+    shares = spark.createDataFrame(pa.table({"__lang": langs, "__k": pa.array(range(len(langs)), pa.int32()), "__share": [min(1.0, per_lang / sizes[v]) for v in langs]}))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
     sample = seen.select(F.col(lang_col), F.col(text_col).alias("__text"), draw.alias("__u")).join(F.broadcast(shares), F.col(lang_col) == F.col("__lang")).filter("__u < __share").select("__k", "__text")
 

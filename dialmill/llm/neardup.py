@@ -34,7 +34,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -288,7 +287,7 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     for d in np.unique(df[(df > 1) & (df < often)]):  # seldom ones: pairs of owners
         rows = first[df == d]
         ia, ib = np.triu_indices(d, 1)
-        step = max(1, 2_000_000 // len(ia))
+        step = max(1, 250_000 // len(ia))
         for i in range(0, len(rows), step):
             own = owner[rows[i : i + step, None] + np.arange(d)]
             counts += np.bincount((own[:, ia] * n + own[:, ib]).ravel(), minlength=n * n)
@@ -308,15 +307,16 @@ def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 9 * both >= 4 * (a + b)
 
 
-def count_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+def count_cell(cell: pa.Table) -> pa.Table:
     """Links inside a cell: per representative, the documents it is linked to, and the least rid it is joined with."""
-    pdf = pdf.drop_duplicates("rid").sort_values("rid")
-    rid, copies, blk = pdf["rid"].to_numpy(), pdf["n"].to_numpy(), pdf["blk"].to_numpy()
-    sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
+    rid, first = np.unique(cell["rid"].to_numpy(), return_index=True)
+    cell = cell.take(pa.array(first))
+    copies, blk = cell["n"].to_numpy(), cell["blk"].to_numpy()
+    sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in cell["shingles"]]
     size = np.array([len(s) for s in sets])
     link = linked(common(sets), size[:, None], size[None, :])
     np.fill_diagonal(link, False)
-    if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+    if cell["i"][0].as_py() != cell["j"][0].as_py():
         link &= blk[:, None] != blk[None, :]
     label = rid.copy()
     while True:
@@ -324,7 +324,7 @@ def count_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         if (low == label).all():
             break
         label = low
-    return pd.DataFrame({"rid": rid, "links": link @ copies, "other": label})
+    return pa.table({"rid": rid, "links": link @ copies, "other": label})
 
 
 def cells(sets: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def cells(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     dealt = sets.join(sizes, "cluster").withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("__p", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     dealt = dealt.select("rid", "n", "shingles", "cluster", "blk", F.least("blk", "__p").alias("i"), F.greatest("blk", "__p").alias("j"))
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(count_cell, "rid long, links long, other long")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(count_cell, "rid long, links long, other long")
 
 
 def differ(x: str, y: str) -> Column:

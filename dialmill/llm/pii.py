@@ -34,7 +34,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SEED_CHAR = re.compile(r"[0-9@]")
-WINDOW, STRIDE, REACH, CERTAIN = 96, 48, 40, 0.9
+WINDOW, STRIDE, REACH, CERTAIN, DECODED = 96, 48, 40, 0.9, 256
 
 
 def luhn(digits: str) -> bool:
@@ -113,8 +113,8 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - m).sum(axis, keepdims=True)) + m).squeeze(axis)
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (n, t, h) of inputs (n, t, e), and what the backward pass needs."""
+def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, save: bool = True) -> tuple[np.ndarray, list]:
+    """Hidden states (n, t, h) of inputs (n, t, e), and, with save, what the backward pass needs."""
     n, t, _ = x.shape
     size = u.shape[0]
     h, c = np.zeros((n, size)), np.zeros((n, size))
@@ -128,7 +128,8 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np
         tc = np.tanh(c)
         h = o * tc
         out[:, k] = h
-        saved.append((i, f, o, g, last_c, tc, last_h))
+        if save:
+            saved.append((i, f, o, g, last_c, tc, last_h))
     return out, saved
 
 
@@ -156,10 +157,10 @@ class Tagger:
         cell = lambda: [r.normal(0, 0.3, (width, 4 * size)), r.normal(0, 0.3, (size, 4 * size)), np.zeros(4 * size)]
         self.p = [r.normal(0, 0.5, (N_CLASSES, width)), *cell(), *cell(), r.normal(0, 0.3, (2 * size, N_TAGS)), np.zeros(N_TAGS), np.zeros((N_TAGS, N_TAGS))]
 
-    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def emissions(self, x: np.ndarray, save: bool = True) -> tuple[np.ndarray, tuple]:
         e = self.p[0][x]
-        left, saved_l = lstm(e, *self.p[1:4])
-        right, saved_r = lstm(e[:, ::-1], *self.p[4:7])
+        left, saved_l = lstm(e, *self.p[1:4], save)
+        right, saved_r = lstm(e[:, ::-1], *self.p[4:7], save)
         both = np.concatenate([left, right[:, ::-1]], 2)
         return both @ self.p[7] + self.p[8], (e, both, saved_l, saved_r)
 
@@ -215,8 +216,12 @@ class Tagger:
         return losses
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tag sequences by Viterbi, and each tag's probability."""
-        scores, _ = self.emissions(x)
+        """Best tag sequences by Viterbi, and each tag's probability; DECODED windows at a time, so memory is bounded."""
+        parts = [self.best_tags(x[a : a + DECODED]) for a in range(0, len(x), DECODED)] or [self.best_tags(x)]
+        return np.concatenate([tags for tags, _ in parts]), np.concatenate([prob for _, prob in parts])
+
+    def best_tags(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        scores, _ = self.emissions(x, save=False)
         n, t, k = scores.shape
         best, back = scores[:, 0], np.zeros((n, t, k), np.int8)
         for j in range(1, t):

@@ -35,11 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of Python operators hold 2,000 rows or 16 MB at most, unless the session has own values.
+    """Let Arrow batches of Python operators hold 500 rows or 4 MB at most, unless the session has own values.
 
-    Workers then need the same memory whatever the lengths of texts; the settings don't change results.
+    Workers then need the same memory whatever the lengths of texts, and so does the JVM, whose buffers outside the heap
+    double while a batch grows and aren't given back; the settings don't change results.
     """
-    for key, default, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")):
+    for key, default, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")):
         if spark.conf.get(key) == default:
             spark.conf.set(key, own)
 

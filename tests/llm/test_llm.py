@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -694,6 +700,27 @@ def test_quality_quantile(spark):
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 
 
+def test_workers_need_little_memory(spark, sf, monkeypatch):
+    """A worker decodes many windows in bounded memory, loads no pandas and no rules, and there is one set of workers."""
+    model = pii.Tagger()
+    x = np.random.default_rng(1).integers(0, pii.N_CLASSES, (2048, pii.WINDOW)).astype(np.uint8)
+    whole = model.best_tags(x) if hasattr(model, "best_tags") else model.decode(x)
+    tracemalloc.start()
+    got = model.decode(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and (got[0] == whole[0]).all() and np.allclose(got[1], whole[1])
+    assert model.decode(x[:0])[0].shape == (0, pii.WINDOW)
+    code = "import sys; from dialmill.llm import bpe, langid, neardup, pii; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(corpus_pipeline.__file__)).returncode == 0
+    code = bpe.encoder(queries.vocabulary())
+    monkeypatch.setattr(bpe, "pieces", None)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "__words": [["the", "cat"]]})
+    assert [b.column("n_tokens").to_pylist() for b in code(iter([batch]))] == [[2]]
+    monkeypatch.setattr(SparkContext, "parallelize", None)
+    assert langid.train(documents(spark, sf)).langs
+
+
 def test_pipeline(spark, sf):
     docs = documents(spark, sf)
     text = {r.doc_id: r for r in docs.collect()}
