@@ -83,10 +83,11 @@ def capped_shares(candidates: DataFrame, by: str, cap: int) -> DataFrame:
     return n.withColumn("share", F.col("kept") / F.sum("kept").over(Window.partitionBy()))
 
 
-def reasons(rows: DataFrame, column: str) -> DataFrame:
-    """Counts of the codes in an array or plain column, the most frequent first (A4)."""
+def reasons(rows: DataFrame, column: str, weight: Column | None = None) -> DataFrame:
+    """Counts of the codes in an array or plain column, the most frequent first (A4); a row counts weight times, or once."""
     c = F.explode(column) if dict(rows.dtypes)[column].startswith("array") else F.col(column)
-    return rows.select(c.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
+    times = F.lit(1).cast("long") if weight is None else weight
+    return rows.select(c.alias("reason"), times.alias("n")).filter("reason IS NOT NULL").groupBy("reason").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "reason")
 
 
 def pass_fail(rows: DataFrame, *by: str) -> DataFrame:

@@ -18,7 +18,7 @@ PARAMS = ["vehicle_id", "issue_summary", "store_id", "description", "colour"]
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = placed(table(spark, sf_dir, "benchmark"), [], ["item_id"]).withColumn("w", F.split(F.coalesce("text", F.lit("")), " "))
+    b = placed(table(spark, sf_dir, "benchmark"), [], [F.asc_nulls_last("item_id")]).withColumn("w", F.split(F.coalesce("text", F.lit("")), " "))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     i = F.col("item_id")
     cat = (i % 8 + 1).cast("int")
@@ -67,23 +67,23 @@ def call(doc_id: Column, first_word: Column) -> Column:
     return F.when(doc_id % 2 == 1, "").when(doc_id % 13 == 0, '<tool_call>{"name": oops}</tool_call>').otherwise(good)
 
 
-def attach_seeds(spark: SparkSession, sf_dir: str, docs: DataFrame, prepared: bool = True) -> DataFrame:
-    """docs (doc_id and more) with a seed's columns each, by doc_id modulo the number of seeds.
+def attach_seeds(spark: SparkSession, sf_dir: str, docs: DataFrame, prepared: bool = True, s: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id and more) with a seed's columns each, by the remainder of doc_id; as in the SQL, a negative remainder has no seed.
 
     Coverage phrases are computed once per seed. The seed table is broadcast when its size was checked; otherwise both
     sides are shuffled by the seed's number.
     """
-    s = seeds(spark, sf_dir)
+    s = seeds(spark, sf_dir) if s is None else s
     s = stash(S.prepared(s) if prepared else s, "seeds")
     n = max(1, s.count())
     side = F.broadcast(s) if fits_broadcast(s.select("seed_id", "scenario", "user_goal", F.to_json("required_facts").alias("a"))) and n <= 2000 else s
-    return docs.withColumn("__i", F.pmod(F.col("doc_id"), F.lit(n))).join(side, F.col("__i") == F.col("idx")).drop("__i")
+    return docs.withColumn("__i", F.col("doc_id") % n).join(side, F.col("__i") == F.col("idx")).drop("__i")
 
 
-def answers(spark: SparkSession, sf_dir: str, prepared: bool = True) -> DataFrame:
-    """Every document as the answer to a seed, with injected defects."""
+def answers(spark: SparkSession, sf_dir: str, prepared: bool = True, s: DataFrame | None = None) -> DataFrame:
+    """Every document as the answer to a seed (of s, where given), with injected defects."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").filter("doc_id IS NOT NULL")
-    out = attach_seeds(spark, sf_dir, d, prepared)
+    out = attach_seeds(spark, sf_dir, d, prepared, s)
     i = F.col("doc_id")
     extra = lambda test, c: F.when(test, F.concat(F.lit(" "), c)).otherwise("")
     lists = F.concat_ws(" ", F.array_join("required_facts", " "), F.array_join("required_questions", " "), F.array_join("required_actions", " "))

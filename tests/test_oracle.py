@@ -60,3 +60,25 @@ def test_matches_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs_without_sql(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() > 0
+
+
+ODD = {  # documents, benchmark
+    "repeated documents": ("SELECT CASE WHEN doc_id < 40 THEN 62 WHEN doc_id < 60 THEN 31 ELSE doc_id // (1 + k) END AS doc_id, text, lang FROM d, range(2) t(k)", "FROM b"),
+    "repeated items": ("FROM d", "SELECT b.* FROM b, range(2)"),
+    "negative ids": ("SELECT doc_id - 100 AS doc_id, text, lang FROM d", "FROM b"),
+    "blank texts": ("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN ' ' END AS text, lang FROM d", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN repeat('x', 700) END AS text FROM b"),
+    "item without an id": ("FROM d", "SELECT nullif(item_id, 8) AS item_id, text FROM b"),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_record_errors_match_sql_on_odd_tables(spark, sf, tmp_path, name):
+    c = duckdb.connect()
+    for t, view, query in zip(("documents", "benchmark"), "db", ODD[name], strict=True):
+        c.sql(f"CREATE VIEW {view} AS FROM '{sf}/{t}.parquet'")
+        c.sql(f"COPY ({query}) TO '{tmp_path}/{t}.parquet'")
+        c.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    for query in ("record_error_counts", "validate_records", "record_totals"):
+        df = catalog.queries()[query](spark, str(tmp_path))
+        want = c.sql(catalog.oracle_sql()[query])
+        assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
